@@ -125,9 +125,7 @@ def clipped_histogram(
     clip = quantiles(both.where(F.col("repo") == POOLED), ["repo"], value, {"q": clip_at}).select(
         F.greatest(F.col("q"), F.lit(1.0)).alias("clip")
     )
-    clipped = both.join(F.broadcast(clip)).select(  # one row
-        "repo", F.least(F.col(value).cast("double"), F.col("clip")).alias("v"), "n"
-    )
+    clipped = both.select("repo", F.least(F.col(value).cast("double"), clip.scalar()).alias("v"), "n")
     edges = clipped.groupBy("repo").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     flat = F.col("lo") == F.col("hi")
     edges = edges.select(
@@ -180,7 +178,7 @@ def detection_mix(signals: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(  # one row
+    return counts.select(
         "ai_authored_kind", "ai_authored_method", "ai_authored_confidence", "n",
-        share(F.col("n"), F.col("total")).alias("share"),
+        share(F.col("n"), total.scalar()).alias("share"),
     )
