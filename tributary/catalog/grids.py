@@ -13,6 +13,7 @@ from tributary.catalog.texts import (
 )
 from tributary.operators import contexts, features, prompts, replay, splits
 from tributary.plans import grids
+from tributary.session import cut_lineage
 
 KEYS = "pr_id, context_kind, strategy, task"
 
@@ -89,7 +90,7 @@ PROMPT_STEPS = {
 
 
 def prompt_rows(pull_requests, files_changed, commits, review_comments):
-    split = split_of(pull_requests)
+    split = cut_lineage(split_of(pull_requests))
     return grids.prompt_grid(
         split.where("side = 'test'"), split.where("side = 'train'"), pull_requests, files_changed, commits, review_comments,
         context_limit=LIMIT, budget=LIMIT)
@@ -163,7 +164,7 @@ def two_turns(*tables):
 @query("PRM5_tier_grid", *AUGMENTED, steps=TURN_STEPS,
        sql="SELECT context_kind, task, strategy, count(*) AS n, CASE WHEN strategy IN ('self_reflection', 'multi_turn') THEN 2 ELSE 1 END AS turns FROM tcells GROUP BY ALL")
 def tier_prompts(pull_requests, files_changed, commits, review_comments, issue_table):
-    split = splits.time_split(features.ai_labelled(pull_requests))
+    split = cut_lineage(splits.time_split(features.ai_labelled(pull_requests)))
     grid = grids.tier_grid(
         split.where("side = 'test'"), split.where("side = 'train'"), pull_requests, files_changed, commits, review_comments, issue_table)
     return grid.groupBy("context_kind", "task", "strategy").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("turns")).alias("turns"))

@@ -11,6 +11,7 @@ from tributary.catalog.sampling import AI_SPLIT_STEPS, BEST_COMMENT
 from tributary.functions import answers, references, text
 from tributary.operators import contexts, features, issues, similar, splits
 from tributary.plans.augmented import augmented_context
+from tributary.session import cut_lineage
 
 
 def strip_sql(x: str) -> str:
@@ -338,7 +339,7 @@ SIMILAR_STEPS = {
 
 
 def _ai_split(pull_requests):
-    return splits.time_split(features.ai_labelled(pull_requests))
+    return cut_lineage(splits.time_split(features.ai_labelled(pull_requests)))
 
 
 def _similar(pull_requests, files_changed, review_comments, busy=5, k=3):

@@ -127,20 +127,21 @@ def metadata_text(
     )
 
 
-def pr_contexts(
+def context_parts(
     pull_requests: DataFrame, files_changed: DataFrame, commits: DataFrame,
-    budget: int = fixed.DIFF_BUDGET, file_limit: int = fixed.FILE_PATCH_BUDGET, context_limit: int | None = None,
+    budget: int = fixed.DIFF_BUDGET, file_limit: int = fixed.FILE_PATCH_BUDGET,
 ) -> DataFrame:
-    """``pr_id, repo, title, context_kind, context_text``: the four contexts of each pull request.
-
-    Each part is computed once per pull request and the kinds are exploded last.
-    """
-    parts = (
+    """``pr_id, repo, title, body, diff, commit_message, metadata``: every part once per pull request."""
+    return (
         pull_requests.select(F.col("id").alias("pr_id"), "repo", "title", "body")
         .join(diff_text(files_changed, budget, file_limit), "pr_id", "left")
         .join(commit_text(commits), "pr_id", "left")
         .join(metadata_text(pull_requests, files_changed), "pr_id", "left")
     )
+
+
+def context_kinds(parts: DataFrame, context_limit: int | None = None) -> DataFrame:
+    """``pr_id, repo, title, context_kind, context_text``: the four contexts of each pull request."""
     diff = F.concat(F.lit("Diff:\n"), F.coalesce("diff", F.lit(NO_DIFF)))
     description = text.or_placeholder(F.col("body"), "(no PR description provided)")
     messages = F.coalesce("commit_message", F.lit("(no commit messages available)"))
@@ -158,6 +159,14 @@ def pr_contexts(
     return parts.select("pr_id", "repo", "title", F.explode(kinds).alias("_k")).select("pr_id", "repo", "title", "_k.*")
 
 
+def pr_contexts(
+    pull_requests: DataFrame, files_changed: DataFrame, commits: DataFrame,
+    budget: int = fixed.DIFF_BUDGET, file_limit: int = fixed.FILE_PATCH_BUDGET, context_limit: int | None = None,
+) -> DataFrame:
+    """The four contexts of each pull request, straight from the tables."""
+    return context_kinds(context_parts(pull_requests, files_changed, commits, budget, file_limit), context_limit)
+
+
 def repo_context(files_changed: DataFrame, max_files: int = fixed.REPO_CONTEXT_FILES) -> DataFrame:
     """``pr_id, repo_context``: the largest files with their hunk headings, and the folders they span."""
     zero = F.lit(0).cast("long")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tributary import fixed_values as fixed
 from tributary.functions import text
 from tributary.operators.sampling import first_k, longest_human_comment
+from tributary.session import cut_lineage
 
 BUSY_FOLDER = 1000
 
@@ -74,11 +75,12 @@ def similar_comments(
         .where(F.col("_n") > busy).select("repo", "folder", F.lit(True).alias("is_busy"))
     )
     marked = placed.join(popular, ["repo", "folder"], "left")
-    profiles = marked.groupBy("pr_id", "repo", "is_past", "is_query", "chars").agg(
+    # Read by five branches below; narrow rows, written once.
+    profiles = cut_lineage(marked.groupBy("pr_id", "repo", "is_past", "is_query", "chars").agg(
         F.count("folder").alias("n_folders"),
         F.array_sort(F.collect_list(F.when(F.col("is_busy"), F.col("folder")))).alias("busy_folders"),
         F.collect_list(F.when(F.col("is_busy").isNull(), F.col("folder"))).alias("rare_folders"),
-    )
+    ))
     past = profiles.where("is_past = 1")
     asked = profiles.where("is_query = 1")
 
@@ -122,7 +124,7 @@ def similar_comments(
     # Candidates without overlap.
     longest_of_repo = first_k(past.select("repo", "pr_id", "chars"), ["repo"], longest, k + 1, "_nth").select(
         "repo", F.col("pr_id").alias("past_pr_id"), "chars")
-    apart = wanted.join(longest_of_repo, "repo").select("pr_id", "past_pr_id", "chars", F.lit(0.0).alias("similarity"))
+    apart = asked.select("pr_id", "repo").join(longest_of_repo, "repo").select("pr_id", "past_pr_id", "chars", F.lit(0.0).alias("similarity"))
 
     found = (
         rare.unionByName(by_class).unionByName(apart)

@@ -10,6 +10,7 @@ from tributary.functions import text
 from tributary.operators import contexts
 from tributary.operators.issues import linked_issue_text
 from tributary.operators.similar import historical_comments, similar_comments
+from tributary.session import cut_lineage
 
 
 def augmented_context(
@@ -24,7 +25,7 @@ def augmented_context(
     ``train_pool`` is the only source of past comments.  Without ``issues`` no
     linked issue is looked up.
     """
-    ids = queries.select("pr_id")
+    ids = cut_lineage(queries.select("pr_id"))
 
     def mine(table: DataFrame) -> DataFrame:
         return table.join(ids, "pr_id", "left_semi")

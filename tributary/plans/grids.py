@@ -10,6 +10,7 @@ from tributary.functions.text import class_label
 from tributary.operators import contexts, prompts
 from tributary.operators.sampling import balanced_sample, comment_sample
 from tributary.plans.augmented import augmented_context
+from tributary.session import cut_lineage
 
 
 def demonstration_rows(
@@ -39,17 +40,18 @@ def prompt_grid(
 ) -> DataFrame:
     """One prompt per (request, context kind, task, strategy).
 
-    The contexts of the queries and of the demonstrations come from one pass over
-    the tables, restricted to those requests.
+    The parts of the queries and of the demonstrations come from one pass over the
+    tables, restricted to those requests.
     """
-    demos = demonstration_rows(train_pool, review_comments, k)
-    ids = queries.select("pr_id").unionByName(demos.select("pr_id")).distinct()
-    texts = contexts.pr_contexts(
-        _only(pull_requests, ids, "id"), _only(files_changed, ids), _only(commits, ids), budget,
-        context_limit=context_limit)
-    cells = prompts.grid_cells(_only(texts, queries), fixed.TASKS, fixed.STRATEGIES)
+    demos = cut_lineage(demonstration_rows(train_pool, review_comments, k))
+    ids = cut_lineage(queries.select("pr_id").unionByName(demos.select("pr_id")).distinct())
+    parts = cut_lineage(contexts.context_parts(
+        _only(pull_requests, ids, "id"), _only(files_changed, ids), _only(commits, ids), budget))
+    shown = contexts.context_kinds(_only(parts, demos), context_limit)
+    asked = contexts.context_kinds(_only(parts, queries), context_limit)
+    cells = prompts.grid_cells(asked, fixed.TASKS, fixed.STRATEGIES)
     return prompts.single_prompts(
-        prompts.require_demonstrations(prompts.with_demonstrations(cells, _demonstrations(demos, texts))))
+        prompts.require_demonstrations(prompts.with_demonstrations(cells, _demonstrations(demos, shown))))
 
 
 def tier_grid(
@@ -57,11 +59,11 @@ def tier_grid(
     commits: DataFrame, review_comments: DataFrame, issues: DataFrame | None = None, k: int = fixed.DEMO_COUNT,
 ) -> DataFrame:
     """One conversation per (request, tier, task, strategy); demonstrations never look up issues."""
-    demos = demonstration_rows(train_pool, review_comments, k)
-    pool = train_pool.select("pr_id", "repo")
-    tables = (pull_requests, files_changed, commits, review_comments, pool)
-    asked = contexts.tier_contexts(augmented_context(queries.select("pr_id"), *tables, issues))
-    shown = contexts.tier_contexts(augmented_context(demos.select("pr_id").distinct(), *tables))
-    cells = prompts.grid_cells(asked, fixed.TASKS, fixed.AUGMENTED_STRATEGIES)
+    demos = cut_lineage(demonstration_rows(train_pool, review_comments, k))
+    ids = cut_lineage(queries.select("pr_id").unionByName(demos.select("pr_id")).distinct())
+    rows = cut_lineage(augmented_context(
+        ids, pull_requests, files_changed, commits, review_comments, train_pool.select("pr_id", "repo"), issues))
+    shown = contexts.tier_contexts(_only(rows, demos).withColumn("issue_text", F.lit(None).cast("string")))
+    cells = prompts.grid_cells(contexts.tier_contexts(_only(rows, queries)), fixed.TASKS, fixed.AUGMENTED_STRATEGIES)
     return prompts.conversations(
         prompts.require_demonstrations(prompts.with_demonstrations(cells, _demonstrations(demos, shown))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR_KEY = "spark.checkpoint.dir"
 
@@ -50,3 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path that no other run uses, below :func:`shared_dir`."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """The rows of ``frame`` from a reliable checkpoint in the shared folder.
+
+    For intermediates that several branches of a plan read: they are computed once,
+    their partitioning is kept, and losing an executor does not lose them.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark))
+    return frame.checkpoint(eager=True)
