@@ -64,8 +64,7 @@ VIEWS = {
                CASE o_orderstatus WHEN 'F' THEN 'MERGED' WHEN 'O' THEN 'CLOSED' ELSE 'OPEN' END AS state,
                o_orderstatus = 'F' AS is_merged,
                CAST(CAST(floor(o_totalprice) AS BIGINT) % 500 AS BIGINT) AS additions,
-               CASE WHEN o_orderkey % 83 = 0 THEN NULL
-                    ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 71 AS BIGINT) END AS deletions,
+               CAST(CAST(floor(o_totalprice) AS BIGINT) % 71 AS BIGINT) AS deletions,
                CAST(o_orderkey % 8 AS BIGINT) AS changed_files,
                $KEEP_NAMED(split(CASE WHEN o_orderkey % 3 = 0 THEN ''
                                 WHEN o_orderkey % 4 = 0 THEN concat(lower(o_orderpriority), ';area-', o_custkey % 40)
