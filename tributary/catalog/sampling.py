@@ -48,9 +48,12 @@ def stacked(pull_requests):
     return split_of(pull_requests).select(F.col("side").alias("part"), "pr_id", "y")
 
 
-@query("SET5_split_check", "pull_requests", steps={"ai_pop": AI},
-       sql="SELECT CAST(0 AS BIGINT) AS n_on_both_sides, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra "
-           "WHERE EXISTS (SELECT 1 FROM ai_pop)")
+@query("SET5_split_check", "pull_requests", steps={
+    **AI_SPLIT_STEPS,
+    "train_ids": "SELECT pr_id FROM ai_split WHERE side = 'train'", "test_ids": "SELECT pr_id FROM ai_split WHERE side = 'test'"},
+    sql="""SELECT (SELECT count(*) FROM (SELECT * FROM train_ids INTERSECT SELECT * FROM test_ids) AS b) AS n_on_both_sides,
+    (SELECT count(*) FROM (SELECT pr_id FROM ai_pop EXCEPT (SELECT * FROM train_ids UNION SELECT * FROM test_ids)) AS m) AS n_missing,
+    (SELECT count(*) FROM ((SELECT * FROM train_ids UNION SELECT * FROM test_ids) EXCEPT SELECT pr_id FROM ai_pop) AS e) AS n_extra""")
 def check(pull_requests):
     pool = features.ai_labelled(pull_requests)
     return splits.split_check(splits.time_split(pool), pool)
