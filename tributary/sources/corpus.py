@@ -275,8 +275,20 @@ def _dependencies(name: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}", VIEWS[name])))
 
 
+TEXT_TABLES = ("lineitem", "orders", "events", "documents", "conversations")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A base table.
+
+    A file with fewer splits than the session has cores would be parsed by a few
+    tasks only, so such a small table is spread first; a large one is read as it is.
+    """
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def corpus_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
