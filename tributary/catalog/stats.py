@@ -27,10 +27,10 @@ RATE_BY_AUTHORSHIP = """SELECT repo, count(*) FILTER (is_ai_authored) AS n_ai,
 
 def describe_sql(values: str) -> str:
     """Distribution of ``value`` per repo of the step named ``values``."""
-    return f"""SELECT repo, count(*) AS n, round(avg(value), 3) AS mean, CAST(median(value) AS DOUBLE) AS median,
+    return f"""SELECT repo, count(*) AS n, round(avg(value), 3) AS mean, round(CAST(median(value) AS DOUBLE), 6) AS median,
         round(coalesce(stddev_samp(value), 0), 3) AS std, CAST(min(value) AS DOUBLE) AS min,
-        CAST(max(value) AS DOUBLE) AS max, quantile_cont(CAST(value AS DOUBLE), 0.9) AS p90,
-        quantile_cont(CAST(value AS DOUBLE), 0.99) AS p99, count(*) FILTER (value = 0) AS zero_count
+        CAST(max(value) AS DOUBLE) AS max, round(quantile_cont(CAST(value AS DOUBLE), 0.9), 6) AS p90,
+        round(quantile_cont(CAST(value AS DOUBLE), 0.99), 6) AS p99, count(*) FILTER (value = 0) AS zero_count
         FROM {values} GROUP BY repo"""
 
 

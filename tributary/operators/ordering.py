@@ -175,14 +175,14 @@ def distribution(counts: DataFrame, key: str, value: str) -> DataFrame:
             key,
             "n",
             F.round("mean", 3).alias("mean"),
-            F.col("median"),
+            F.round("median", 6).alias("median"),
             F.when(F.col("n") > 1, F.round(F.sqrt(F.col("_m2") / (F.col("n") - 1)), 3))
             .otherwise(F.lit(0.0))
             .alias("std"),
             "min",
             "max",
-            "p90",
-            "p99",
+            F.round("p90", 6).alias("p90"),
+            F.round("p99", 6).alias("p99"),
             "zero_count",
         )
     )
