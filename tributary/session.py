@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR_KEY = "spark.checkpoint.dir"
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def build_session(app_name: str = "tributary", master: str | None = None, **conf) -> SparkSession:
@@ -42,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR_KEY} to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="tributary-")
-    spark.conf.set(CHECKPOINT_DIR_KEY, path)
-    return path
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="tributary-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
