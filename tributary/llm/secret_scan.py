@@ -26,7 +26,7 @@ from tributary.session import cut_lineage, scratch_path
 
 #: A change to any rule needs a new version, so that old blobs are scanned again.
 RULE_VERSION = "2"
-#: Rows of findings that every task may hold (about 200 bytes each) when texts are masked.
+#: Blobs and spans of findings that every task may hold (about 100 bytes each).
 HELD_FINDINGS = 200_000
 
 # The base kinds, in the order in which they are listed.
@@ -135,11 +135,19 @@ def update_ledger(versions: DataFrame, ledger_path: str, text: str = "text") ->
     return spark.read.schema(schema).parquet(ledger_path)
 
 
+def _held(found: DataFrame, held_findings: int) -> DataFrame:
+    """Findings by blob, to be broadcast where their spans are few enough; else the join shuffles."""
+    found = cut_lineage(found)
+    size = found.agg(F.sum(1 + F.size("spans"))).first()[0] or 0
+    return F.broadcast(found) if size <= held_findings else found
+
+
 def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger_path: str | None = None) -> DataFrame:
     """``path``, ``blob`` and ``spans`` of every version; without a ledger path, a new ledger in the shared folder."""
     ledger = update_ledger(versions, ledger_path or scratch_path(versions.sparkSession, "ledger"), text)
     current = ledger.filter(F.col("rule_version") == RULE_VERSION).filter(F.size("spans") > 0).select("blob", "spans")
-    current = current.dropDuplicates(["blob"])  # runs at the same time may have scanned a blob twice
+    # runs at the same time may have scanned a blob twice; written, a large table can be joined with skew split
+    current = _held(current.dropDuplicates(["blob"]), HELD_FINDINGS)
     return (
         addresses(versions, path, text).join(current, "blob", "left")
         .select("path", "blob", F.coalesce("spans", F.array().cast(current.schema["spans"].dataType)).alias("spans"))
@@ -158,10 +166,8 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 
 def mask(docs: DataFrame, ledger: DataFrame, held_findings: int = HELD_FINDINGS) -> DataFrame:
     """``docs`` with secrets masked in ``text`` (and ``n_chars``, where it is a column, counted anew)."""
-    found = cut_lineage(ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans"))
-    found = found.dropDuplicates(["blob"])
-    if found.count() <= held_findings:
-        found = F.broadcast(found)
+    found = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
+    found = _held(found.dropDuplicates(["blob"]), held_findings)
     marked = docs.select(
         F.struct(*[F.col(name) for name in docs.columns]).alias("row"),
         F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"),
