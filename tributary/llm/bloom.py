@@ -32,7 +32,7 @@ def _keys(codes: np.ndarray, level: int) -> np.ndarray:
 
 
 def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return (keys >> np.uint64(40)) % np.uint64(blocks)
+    return ((keys >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)
 
 
 def _spot(keys: np.ndarray, probe: int) -> np.ndarray:

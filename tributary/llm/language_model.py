@@ -19,6 +19,7 @@ counted, each.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,8 +43,10 @@ FOLDS, HELD_OUT = 5, 1
 #: The end token; no word is empty.
 END = b""
 #: Tokens whose pairs a task gathers before it sends their counts, or scores at a time.
-GATHERED = 4_000_000
-SCORED = 500_000
+GATHERED = 2_000_000
+SCORED = 1_000_000
+#: Tokens of the corpus for each share of pairs that is summed on its own.
+SHARE = 2_000_000
 CACHED_WORDS = 400_000
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
@@ -62,13 +65,17 @@ def pair_codes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return bloom.mixed(before * _PAIR + after)
 
 
-def _codes(texts: list[list[bytes]], words: WordCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all tokens, of the token before each (the end token before the first), and each text's size."""
-    sizes = np.array([len(text) + 1 for text in texts], np.int64)
-    after = np.fromiter((code for text in texts for code in map(words.__getitem__, (*text, END))), np.uint64, int(sizes.sum()))
+def text_codes(found: list[bytes], words: WordCodes) -> np.ndarray:
+    """Codes of a text's tokens, the end token last."""
+    out = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    return np.append(out, np.uint64(words[END]))
+
+
+def before_each(after: np.ndarray, sizes: np.ndarray, end) -> np.ndarray:
+    """What stands before each token of joined texts; the end token stands before the first."""
     before = np.roll(after, 1)
-    before[np.r_[0, np.cumsum(sizes)[:-1]]] = words[END]
-    return after, before, sizes
+    before[np.r_[0, np.cumsum(sizes)[:-1]]] = end
+    return before
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -93,28 +100,50 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """``code`` of every pair of tokens and its count ``n`` in all texts."""
+def count_pairs(docs: DataFrame, total: int) -> DataFrame:
+    """``code`` and count ``n`` of the pairs of tokens with a share of at least 1 / RESOLUTION of ``total`` tokens.
+
+    Every pair is counted.  Codes travel as arrays, cut by their high bits into about one share for each
+    ``SHARE`` tokens of the corpus, and each share is summed on its own; only frequent pairs leave it.
+    """
+    shares = max(256, -(-total // SHARE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, waiting, size = WordCodes(), [], 0
 
         def sent() -> pa.RecordBatch:
-            after, before, _ = _codes(waiting, words)
+            after = np.concatenate(waiting)
+            before = before_each(after, np.array(list(map(len, waiting))), words[END])
             codes, counts = np.unique(pair_codes(before, after), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["code", "n"])
+            owner = ((codes >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(codes)]))
+            return pa.RecordBatch.from_arrays([
+                pa.array(owner[starts].astype(np.int64)), pa.array([codes[s:e].tobytes() for s, e in cuts], pa.binary()),
+                pa.array([counts[s:e].astype("<u4").tobytes() for s, e in cuts], pa.binary())], names=["share", "codes", "counts"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                waiting.append(words_of(text, lower=True))
-                size += len(waiting[-1]) + 1
+                waiting.append(text_codes(words_of(text, lower=True), words))
+                size += len(waiting[-1])
                 if size >= GATHERED:
                     yield sent()
                     waiting, size = [], 0
         if waiting:
             yield sent()
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def summed(group: pa.Table) -> pa.Table:
+        codes = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("codes").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()])
+        order = np.argsort(codes)
+        codes = codes[order]
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        n = np.add.reduceat(counts[order].astype(np.int64), starts)
+        kept = n >= total / RESOLUTION
+        return pa.table({"code": codes[starts][kept].view(np.int64), "n": n[kept]})
+
+    rows = docs.select("text").mapInArrow(run, "share long, codes binary, counts binary")
+    return rows.groupBy("share").applyInArrow(summed, "code long, n long")
 
 
 class Model:
@@ -123,19 +152,15 @@ class Model:
     def __init__(self, levels: bloom.LevelFilter, singles: np.ndarray, pairs: np.ndarray, total: int, types: int, held: dict[bytes, int]):
         self.levels, self.singles, self.pairs, self.total, self.types, self.held = levels, singles, pairs, total, types, held
 
-    def scores(self, texts: list[list[bytes]], words: WordCodes) -> list[float]:
-        """log10 probability of each text."""
-        if not texts:
-            return []
-        after, before, sizes = _codes(texts, words)
-        both = pair_codes(before, after)
-        single, back = np.unique(after, return_inverse=True)
+    def scores(self, texts: list[np.ndarray], end: int) -> list[float]:
+        """log10 probability of each text, given as codes; ``end`` is the code of the end token."""
+        after, sizes = np.concatenate(texts), np.array(list(map(len, texts)))
+        single, own = np.unique(after, return_inverse=True)
         counts = self.singles[np.minimum(self.levels.levels(single), len(self.singles) - 1)]
-        context, back_context = np.unique(before, return_inverse=True)
-        contexts = self.singles[np.minimum(self.levels.levels(context), len(self.singles) - 1)][back_context]
-        pair, back_pair = np.unique(both, return_inverse=True)
-        paired = self.pairs[np.minimum(self.levels.levels(pair), len(self.pairs) - 1)][back_pair]
-        chance = PAIR_WEIGHT * np.minimum(1.0, paired / contexts) + (1 - PAIR_WEIGHT) * counts[back] / (self.total + 1)
+        context = before_each(own, sizes, np.searchsorted(single, np.uint64(end)))
+        pair, back = np.unique(pair_codes(single[context], after), return_inverse=True)
+        paired = self.pairs[np.minimum(self.levels.levels(pair), len(self.pairs) - 1)][back]
+        chance = PAIR_WEIGHT * np.minimum(1.0, paired / counts[context]) + (1 - PAIR_WEIGHT) * counts[own] / (self.total + 1)
         return np.add.reduceat(np.log10(chance), np.r_[0, np.cumsum(sizes)[:-1]]).tolist()
 
 
@@ -171,7 +196,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     levelled = _with_level(words, total)
     single_means, single_keys = _means(levelled)
     singles = levelled.filter("level > 0").mapInArrow(coded, "code long, n long, level int")
-    pairs = cut_lineage(_with_level(count_pairs(docs), total).filter("level > 0"))
+    pairs = cut_lineage(_with_level(count_pairs(docs, total), total).filter("level > 0"))
     pair_means, pair_keys = _means(pairs)
     levels = bloom.build(singles.unionByName(pairs), single_keys + pair_keys)
     rare_n, rare_types = single_means.pop(0, (0, 0))
@@ -188,36 +213,44 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, folds: int = FOLDS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = shared.value, WordCodes()
-        logs = {word: np.log10(n + 0.5) for word, n in model.held.items()}
-        pair = pa.struct([("word", pa.binary()), ("times", pa.int64())])
+        logs = {word: math.log10(n + 0.5) for word, n in model.held.items()}
         for batch in batches:
-            ids, folds_out = batch.column("doc_id"), batch.column("held_out")
-            texts, at, size = [], 0, 0
+            known, sums, sizes, scores, rest, times, ends = [], [], [], [], [], [], [0]
+            waiting, size = [], 0
             for number, text in enumerate(batch.column("text").to_pylist()):
-                texts.append(words_of(text, lower=True))
-                size += len(texts[-1]) + 1
-                if size < SCORED and number + 1 < batch.num_rows:
-                    continue
-                known, sums, rest = [], [], []
-                for found in texts:
-                    own = Counter(found)
-                    own[END] = 1
-                    held = [(word, times) for word, times in own.items() if word in logs]
-                    known.append(sum(times for _, times in held))
-                    sums.append(float(sum(times * logs[word] for word, times in held)))
-                    rest.append([{"word": word, "times": times} for word, times in own.items() if word not in logs])
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, len(texts)), folds_out.slice(at, len(texts)), pa.array([len(t) + 1 for t in texts], pa.int64()),
-                    pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.scores(texts, words), pa.float64()),
-                    pa.array(rest, pa.list_(pair)),
-                ], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"])
-                texts, at, size = [], number + 1, 0
+                found = words_of(text, lower=True)
+                own = Counter(found)
+                own[END] = 1
+                seen, total = 0, 0.0
+                for word, n in own.items():
+                    log = logs.get(word)
+                    if log is None:
+                        rest.append(word)
+                        times.append(n)
+                    else:
+                        seen += n
+                        total += n * log
+                known.append(seen)
+                sums.append(total)
+                ends.append(len(rest))
+                sizes.append(len(found) + 1)
+                waiting.append(text_codes(found, words))
+                size += len(found) + 1
+                if size >= SCORED or number + 1 == batch.num_rows:
+                    scores += model.scores(waiting, words[END])
+                    waiting, size = [], 0
+            ends_array = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),
+                pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(ends_array, pa.array(rest, pa.binary())),
+                pa.ListArray.from_arrays(ends_array, pa.array(times, pa.int64())),
+            ], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest", "times"])
 
     split = docs.select("doc_id", "text", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"))
     scored = cut_lineage(split.mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word:binary,times:long>>"))
+        run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<binary>, times array<long>"))
     scored = scored.withColumn("row", F.monotonically_increasing_id())  # stable: the rows are written
-    rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.times")
+    rare = scored.select("row", F.explode(F.arrays_zip(F.col("rest").alias("word"), "times")).alias("x")).select("row", "x.word", "x.times")
     sums = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"))
