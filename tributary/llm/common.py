@@ -17,6 +17,13 @@ ARROW_TYPES = {
 Columns = dict[str, list]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_columns(frame: DataFrame, fields: dict[str, str], start: Callable[[], Callable[[Columns], Columns]]) -> DataFrame:
     """``frame`` turned into rows of ``fields``, a batch of columns at a time.
 
@@ -26,7 +33,7 @@ def map_columns(frame: DataFrame, fields: dict[str, str], start: Callable[[], Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_pydict(step(batch.to_pydict()), schema=schema)
 
     return frame.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
@@ -37,7 +44,7 @@ def filter_columns(frame: DataFrame, start: Callable[[], Callable[[Columns], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in batches:
+        for batch in slices(batches):
             keep = step({name: batch.column(name).to_pylist() for name in reads})
             yield batch.filter(pa.array(keep, pa.bool_()))
 

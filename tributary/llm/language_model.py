@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import bloom
-from tributary.llm.common import Columns, fold_of, map_columns, words_of
+from tributary.llm.common import fold_of, slices, words_of
 from tributary.llm.registry import query, table
 from tributary.session import cut_lineage
 
@@ -43,11 +43,11 @@ FOLDS, HELD_OUT = 5, 1
 #: The end token; no word is empty.
 END = b""
 #: Tokens whose pairs a task gathers before it sends their counts, or scores at a time.
-GATHERED = 2_000_000
-SCORED = 1_000_000
+GATHERED = 1_500_000
+SCORED = 500_000
 #: Tokens of the corpus for each share of pairs that is summed on its own.
 SHARE = 2_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
 
@@ -89,7 +89,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             found.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 found.update(words_of(text, lower=True))
                 found[END] += 1
@@ -122,7 +122,7 @@ def count_pairs(docs: DataFrame, total: int) -> DataFrame:
                 pa.array(owner[starts].astype(np.int64)), pa.array([codes[s:e].tobytes() for s, e in cuts], pa.binary()),
                 pa.array([counts[s:e].astype("<u4").tobytes() for s, e in cuts], pa.binary())], names=["share", "codes", "counts"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 waiting.append(text_codes(words_of(text, lower=True), words))
                 size += len(waiting[-1])
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, folds: int = FOLDS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = shared.value, WordCodes()
         logs = {word: math.log10(n + 0.5) for word, n in model.held.items()}
-        for batch in batches:
+        for batch in slices(batches):
             known, sums, sizes, scores, rest, times, ends = [], [], [], [], [], [], [0]
             waiting, size = [], 0
             for number, text in enumerate(batch.column("text").to_pylist()):

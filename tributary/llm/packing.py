@@ -28,7 +28,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that one group packs, and words whose ids a task remembers.
 GROUP_PIECES = 16_384
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 
 
 class WordIds(dict):

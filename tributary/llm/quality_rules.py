@@ -128,12 +128,13 @@ def fences(sketch: DataFrame) -> DataFrame:
     low = F.when(F.col("rate").isin(TWO_SIDED), F.col("q1") - F.col("margin")).otherwise(F.lit(-1))
     fence = F.struct("rate", low.alias("low"), (F.col("q3") + F.col("margin")).alias("high"))
     tables = margins.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(fence)).alias("fences"))
-    own, by_lang, whole = (tables.filter(F.col("level") == level).alias(f"l{level}") for level in (2, 1, 0))
-    chosen = (
-        own.join(by_lang, F.col("l2.lang").eqNullSafe(F.col("l1.lang")), "left")
-        .join(whole, F.col("l0.level") == F.lit(0) * F.col("l2.level"), "left")
-    )
-    best = F.when(F.col("l2.total") >= LEAST_ROWS, F.col("l2.fences")).when(F.col("l1.total") >= LEAST_ROWS, F.col("l1.fences")).otherwise(F.col("l0.fences"))
+    tables = cut_lineage(tables)
+    own, by_lang = (tables.filter(F.col("level") == level).alias(f"l{level}") for level in (2, 1))
+    whole = tables.filter("level = 0").first()  # one row, of a fence for each rate
+    general = F.array(*[F.struct(F.lit(f.rate).alias("rate"), F.lit(f.low).cast("long").alias("low"), F.lit(f.high).cast("long").alias("high"))
+                        for f in (whole.fences if whole else [])]).cast(tables.schema["fences"].dataType)
+    chosen = own.join(by_lang, F.col("l2.lang").eqNullSafe(F.col("l1.lang")), "left")
+    best = F.when(F.col("l2.total") >= LEAST_ROWS, F.col("l2.fences")).when(F.col("l1.total") >= LEAST_ROWS, F.col("l1.fences")).otherwise(general)
     return chosen.select(F.col("l2.lang").alias("lang"), F.col("l2.source").alias("source"), best.alias("fences"))
 
 

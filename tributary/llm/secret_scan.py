@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Columns, map_columns, sha256_hex, spans_text
+from tributary.llm.common import Columns, map_columns, sha256_hex, slices, spans_text
 from tributary.llm.registry import query, table
 from tributary.session import cut_lineage, scratch_path
 
@@ -97,7 +97,7 @@ def _scan_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     packer = zstandard.ZstdDecompressor()
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    for batch in batches:
+    for batch in slices(batches):
         blobs, spans = [], []
         for blob, packed in zip(batch.column("blob").to_pylist(), batch.column("packed").to_pylist()):
             if blob not in seen:
