@@ -24,6 +24,9 @@ def test_equivalent_texts(spark):
 def test_paragraphs_and_odd_rows(spark):
     known = s.known_digests(spark, [("own", "first line here\nsecond line there"), ("own", "FIRST line; here second line there"), ("a", "x " * 3)])
     assert known.count() == 2
+    hidden = [(5, "=====\n© 2020 me\nFirst line here, second line there"), (6, "/*\n (c) me\n*/ first line here second line there"), (7, "Copyright 2021 x\nx x x"), (8, "Xx x x")]
+    out = rows(s.scan(spark.createDataFrame(hidden, "doc_id long, text string"), known).select("doc_id", "scope", "license"))
+    assert sorted(out) == sorted((i, scope, name) for i, name in ((5, "own"), (6, "own"), (7, "a")) for scope in ("line", "paragraph", "text"))
     docs = spark.createDataFrame([(1, "intro\n\n* First line here,\n* second line there.\n\nend"), (1, "intro\n\n* First line here,\n* second line there.\n\nend")], "doc_id long, text string")
     for held in (100, 0):
         assert rows(s.scan(docs, known, held_digests=held).select("doc_id", "scope", "license")) == [(1, "paragraph", "own")] * 2

@@ -2,7 +2,8 @@
 
 A text's canonical form has A-Z lower-cased, copyright lines removed, everything but letters and digits turned
 into single spaces, and equivalent spellings replaced.  Its SHA-256 is joined to the digests of known licence
-texts.  Units that are looked up: each entire text, each paragraph of two lines or more, and each line.
+texts.  Units that are looked up: each entire text, each paragraph of two lines or more, and each line.  A unit whose
+first word begins no known text, and could not be replaced, is passed over before it is normalised.
 
 DataFrame functions only.  A null or empty text, and a unit whose canonical form is empty, match nothing.
 Repeated rows and repeated units are reported each.  Extra columns are ignored.
@@ -22,6 +23,7 @@ HELD_DIGESTS = 200_000
 
 # Lines that state an owner, spellings that licence matching counts as equal, and known texts.
 COPYRIGHT = r"(^|\n)[\t #*/;-]*(copyright[ :]*(\(c\)|©|[0-9<\[]|by )|\(c\)|©|all rights reserved)[^\n]*"
+PARAGRAPH = r"\n[ \t\r]*\n"
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("copyright holder", "copyright owner"),
     ("copyright holders", "copyright owners"), ("organisation", "organization"), ("favour", "favor"), ("merchantibility", "merchantability"),
@@ -81,29 +83,36 @@ def _spaced(words: str) -> str:
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``license`` and ``digest`` of known texts; of texts with one canonical form the least name stands."""
     texts = spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
-    return texts.select("license", F.sha2(canonical(plain_lines(F.col("text"))), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    forms = texts.select("license", canonical(plain_lines(F.col("text"))).alias("form")).filter("form <> ''")
+    return forms.select("license", F.sha2("form", 256).alias("digest"), F.substring_index("form", " ", 1).alias("first")).groupBy("digest", "first").agg(
+        F.min("license").alias("license"))
+
+
+def first_word(unit: Column) -> Column:
+    return F.translate(F.regexp_extract(unit, r"[\p{L}\p{N}]+", 0), UPPER, LOWER)
+
+
+#: First words that normalising may replace or drop: those of spellings, and of copyright lines.
+MOVING = sorted({old.split()[0] for old, _ in SPELLINGS} | {"copyright", "c", "all"})
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", held_digests: int = HELD_DIGESTS) -> DataFrame:
     """``key``, scope (text, paragraph or line), place (its number from 0), license and digest of every unit that is known."""
-    plain = docs.select(F.col(key).alias("__key"), plain_lines(F.col("text")).alias("__plain"))
-    lines = F.split("__plain", "\n")
-    paragraphs = F.split("__plain", r"\n[ \n]*\n")
-
-    def units(scope: str, found: Column, fits) -> Column:
-        listed = F.transform(found, lambda unit, place: F.struct(F.lit(scope).alias("scope"), place.alias("place"), unit.alias("unit")))
-        return F.filter(listed, lambda x: fits(x["unit"]))
-
-    worded = lambda unit: F.trim(unit) != ""
-    listed = F.concat(
-        units("text", F.array("__plain"), worded),
-        units("paragraph", paragraphs, lambda unit: worded(unit) & F.trim(unit).contains("\n")),
-        units("line", lines, worded),
-    )
-    digested = plain.select("__key", F.explode(listed).alias("x")).select(
-        F.col("__key").alias(key), "x.scope", "x.place", F.sha2(canonical(F.col("x.unit")), 256).alias("digest"))
-    known = F.broadcast(known) if known.count() <= held_digests else known
-    return digested.join(known, "digest").select(key, "scope", "place", "license", "digest")
+    texts = docs.select(F.col(key).alias("__key"), F.coalesce("text", F.lit("")).alias("__text"))
+
+    def units(scope: str, found: Column) -> Column:
+        return F.transform(found, lambda unit, place: F.struct(F.lit(scope).alias("scope"), place.alias("place"), unit.alias("unit")))
+
+    paragraphs = F.filter(units("paragraph", F.split("__text", PARAGRAPH)), lambda x: F.trim(x["unit"]).contains("\n"))
+    listed = F.concat(units("text", F.array("__text")), paragraphs, units("line", F.split("__text", "\n")))
+    found = texts.select("__key", F.explode(listed).alias("x")).select("__key", "x.*").withColumn("__first", first_word(F.col("unit")))
+    held = known.count() <= held_digests
+    firsts = known.select(F.col("first").alias("__first")).distinct().withColumn("__begins", F.lit(True))
+    moved = F.col("__first").isin(MOVING) | F.regexp_extract("unit", r"^[^\p{L}\p{N}]*", 0).contains("©")
+    begun = found.join(F.broadcast(firsts) if held else firsts, "__first", "left").filter(F.col("__begins") | moved)
+    digested = begun.select(F.col("__key").alias(key), "scope", "place", F.sha2(canonical(plain_lines(F.col("unit"))), 256).alias("digest"))
+    known = known.select("digest", "license")
+    return digested.join(F.broadcast(known) if held else known, "digest").select(key, "scope", "place", "license", "digest")
 
 
 def _sql_canonical(plain: str) -> str:
@@ -122,12 +131,12 @@ _KNOWN_SQL = ", ".join("('{}', '{}')".format(*(part.replace("'", "''") for part
 _SQL = rf"""
 WITH known AS (SELECT sha256({_sql_canonical(_sql_plain("text"))}) AS digest, min(license) AS license
     FROM (VALUES {_KNOWN_SQL}) AS k(license, text) GROUP BY 1),
-plain AS (SELECT doc_id, {_sql_plain("text")} AS plain FROM documents),
-listed AS (SELECT doc_id, 'text' AS scope, 0 AS place, plain AS unit FROM plain
-    UNION ALL SELECT doc_id, 'line', unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, string_split(plain, chr(10)) AS l FROM plain)
-    UNION ALL SELECT doc_id, 'paragraph', unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, string_split_regex(plain, '\n[ \n]*\n') AS l FROM plain)),
-fit AS (SELECT * FROM listed WHERE trim(unit) <> '' AND (scope <> 'paragraph' OR contains(trim(unit), chr(10)))),
-digested AS (SELECT doc_id, scope, place, sha256({_sql_canonical("unit")}) AS digest FROM fit)
+texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT doc_id, 'text' AS scope, 0 AS place, text AS unit FROM texts
+    UNION ALL SELECT doc_id, 'line', unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM texts)
+    UNION ALL SELECT doc_id, 'paragraph', unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, string_split_regex(text, '{PARAGRAPH}') AS l FROM texts)),
+fit AS (SELECT * FROM listed WHERE scope <> 'paragraph' OR contains(trim(unit), chr(10))),
+digested AS (SELECT doc_id, scope, place, sha256({_sql_canonical(_sql_plain("unit"))}) AS digest FROM fit)
 SELECT doc_id, scope, CAST(place AS INTEGER) AS place, license, digest FROM digested JOIN known USING (digest)
 """
 
