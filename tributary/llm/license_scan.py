@@ -110,7 +110,9 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", held_digests: i
     firsts = known.select(F.col("first").alias("__first")).distinct().withColumn("__begins", F.lit(True))
     moved = F.col("__first").isin(MOVING) | F.regexp_extract("unit", r"^[^\p{L}\p{N}]*", 0).contains("©")
     begun = found.join(F.broadcast(firsts) if held else firsts, "__first", "left").filter(F.col("__begins") | moved)
-    digested = begun.select(F.col("__key").alias(key), "scope", "place", F.sha2(canonical(plain_lines(F.col("unit"))), 256).alias("digest"))
+    # never null, and stated so: else the join's null test would be pushed down and digest every unit
+    digest = F.coalesce(F.sha2(canonical(plain_lines(F.col("unit"))), 256), F.lit(""))
+    digested = begun.select(F.col("__key").alias(key), "scope", "place", digest.alias("digest"))
     known = known.select("digest", "license")
     return digested.join(F.broadcast(known) if held else known, "digest").select(key, "scope", "place", "license", "digest")
 
