@@ -67,3 +67,10 @@ def test_log_skips_blank_lines_and_appends(spark, tmp_path):
     logs.append_log(rows, str(tmp_path / "copy"))
     logs.append_log(rows, str(tmp_path / "copy"))
     assert logs.read_log(spark, str(tmp_path / "copy")).count() == 4
+
+
+def test_cut_log_lines_are_rejected(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"pr_id": "p", "task": "t"}\n{"pr_id": "q", "ta')
+    assert [r.pr_id for r in logs.read_log(spark, str(tmp_path)).collect()] == ["p"]
+    assert logs.read_log(spark, str(tmp_path)).count() == 1
+    assert [r.line for r in logs.rejected_log_lines(spark, str(tmp_path)).collect()] == ['{"pr_id": "q", "ta']

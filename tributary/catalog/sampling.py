@@ -36,6 +36,17 @@ def split(pull_requests):
     return split_of(pull_requests).select("pr_id", "repo", "created_at", "y", "side")
 
 
+@query("WIN2_missing_times", "pull_requests", sql="""
+    SELECT id AS pr_id, repo, created_at, CASE WHEN nth <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS side FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo ORDER BY created_at NULLS LAST, id) AS nth, count(*) OVER (PARTITION BY repo) AS n
+        FROM (SELECT id, CASE WHEN id % 89 <> 0 THEN repo END AS repo, CASE WHEN id % 5 <> 0 THEN created_at END AS created_at FROM pull_requests))
+    WHERE repo IS NOT NULL""")
+def split_with_missing_times(pull_requests):
+    holes = pull_requests.select(F.col("id").alias("pr_id"), F.when(F.col("id") % 89 != 0, F.col("repo")).alias("repo"),
+                                 F.when(F.col("id") % 5 != 0, F.col("created_at")).alias("created_at"))
+    return splits.time_split(holes)
+
+
 @query("WIN2_split_cutoffs", "pull_requests", steps={**SPLIT_STEPS, "cut": CUTOFFS}, sql="SELECT * FROM cut")
 def cutoffs(pull_requests):
     return splits.split_cutoffs(split_of(pull_requests))

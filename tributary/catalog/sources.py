@@ -97,13 +97,15 @@ register("SRC4_FLT8_fan_out", CHILDREN,
 
 
 def logged(spark: SparkSession, sf_dir: str):
-    """Two appends to one log, read back."""
+    """Two appends to one log and a line that a killed run cut off, read back."""
     path = scratch_path(spark, "log")
     grid = corpus_view(spark, sf_dir, "grid")
     rows = grid.select(F.col("pr_id").cast("string").alias("pr_id"), "repo", *replay.CELL[1:], "response_text", "error", "latency_ms",
                        F.struct("total_time").alias("usage"))
     logs.append_log(rows.where("task = 'merge_prediction'"), path)
     logs.append_log(rows.where("task = 'review_comment'"), path)
+    cut = rows.limit(1).select(F.expr("substring(to_json(struct(*)), 1, 60)").alias("value"))
+    cut.write.mode("append").text(path)
     return logs.read_log(spark, path).select(*replay.CELL, F.md5("response_text").alias("text_key"), "error", "latency_ms",
                                              F.col("usage.total_time").alias("total_time"))
 

@@ -265,6 +265,22 @@ def packed(files_changed):
     return contexts.diff_text(files_changed, 160, 90)
 
 
+EQUAL_BLOCKS = """SELECT pr_id % 7 AS part, pr_id, file_ord,
+    concat('--- ', lpad(CAST(pr_id AS VARCHAR), 9, '0'), lpad(CAST(file_ord AS VARCHAR), 4, '0')) AS block FROM files_changed"""
+
+
+@query("WIN7_large_budget", "files_changed", steps={"blocks": EQUAL_BLOCKS}, sql="""
+    SELECT part, string_agg(block, chr(10) ORDER BY pr_id, file_ord) FILTER (nth <= 200000 // 17) AS text,
+        least(count(*), 200000 // 17) AS n_kept, count(*) AS n_blocks
+    FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY pr_id, file_ord) AS nth FROM blocks) GROUP BY part""")
+def packed_large(files_changed):
+    """Thousands of blocks of one length, and a budget for nearly twelve thousand."""
+    number = lambda name, width: F.lpad(F.col(name).cast("string"), width, "0")
+    blocks = files_changed.select((F.col("pr_id") % 7).alias("part"), "pr_id", "file_ord",
+                                  F.concat(F.lit("--- "), number("pr_id", 9), number("file_ord", 4)).alias("block"))
+    return contexts.pack(blocks, "part", ["pr_id", "file_ord"], 200_000, "\n", shortest=4)
+
+
 @query("CTX1_diff_text", "files_changed", steps=diff_steps(16000, 4000), sql="SELECT * FROM diff")
 def diffs(files_changed):
     return contexts.diff_text(files_changed)

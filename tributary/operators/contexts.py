@@ -13,10 +13,12 @@ from tributary.functions.references import hunk_headings
 from tributary.operators.sampling import first_k
 
 NO_DIFF = "(no file diff available)"
-GROUP_LIMIT = 1000
+#: Characters that every block has by its layout, whatever its texts.
+SHORTEST_FILE_BLOCK = len("---  ()\n") + 1
+SHORTEST_COMMIT_BLOCK = len("1. ") + 1
 
 
-def pack(blocks: DataFrame, key: str, order: Sequence[str], budget: int, separator: str) -> DataFrame:
+def pack(blocks: DataFrame, key: str, order: Sequence[str], budget: int, separator: str, shortest: int) -> DataFrame:
     """Greedy packing of ordered text blocks under a character budget, per key.
 
     A block that does not fit is skipped and the next one is tried.  Result:
@@ -24,17 +26,20 @@ def pack(blocks: DataFrame, key: str, order: Sequence[str], budget: int, separat
 
     The remaining budget never grows, so the kept blocks of one length L are the
     first ones of that length, and at most ``budget // L`` of them.  Only those are
-    gathered per key, which bounds the row whatever the number of blocks.  Callers
-    pass blocks of at least ``budget / 1000`` characters, so one constant limit
-    prunes them inside the map tasks already.
+    gathered per key, which bounds the row whatever the number of blocks.  ``shortest``
+    (at least 1) is the least length that the layout of the blocks allows, and a shorter
+    block is an error; so ``budget // shortest`` is a constant limit beside the one by
+    length, by which Spark prunes inside the map tasks (up to its own limit for that).
     """
-    sized = blocks.withColumn("_size", F.length("block").cast("long"))
+    size = F.length("block").cast("long")
+    short = F.raise_error(F.concat(F.lit(f"a block is shorter than {shortest}: "), F.col("block")))
+    sized = blocks.withColumn("_size", F.when(size < shortest, short.cast("long")).otherwise(size))
     counts = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n_blocks"))
     same_length = Window.partitionBy(key, "_size").orderBy(*order)
     candidates = (
         sized.where(F.col("_size") <= budget)
         .withColumn("_nth", F.row_number().over(same_length))
-        .where((F.col("_nth") <= GROUP_LIMIT) & (F.col("_nth") <= F.floor(F.lit(budget) / F.col("_size"))))
+        .where((F.col("_nth") <= budget // shortest) & (F.col("_nth") <= F.floor(F.lit(budget) / F.col("_size"))))
     )
     gathered = candidates.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(*order, "_size", "block"))).alias("_blocks")
@@ -71,7 +76,7 @@ def diff_text(
     files_changed: DataFrame, budget: int = fixed.DIFF_BUDGET, file_limit: int = fixed.FILE_PATCH_BUDGET
 ) -> DataFrame:
     """``pr_id, diff``: packed file diffs with the number of files left out."""
-    packed = pack(file_blocks(files_changed, file_limit), "pr_id", ["neg_churn", "file_ord"], budget, "\n\n")
+    packed = pack(file_blocks(files_changed, file_limit), "pr_id", ["neg_churn", "file_ord"], budget, "\n\n", SHORTEST_FILE_BLOCK)
     left_out = F.col("n_blocks") - F.col("n_kept")
     note = F.concat(F.lit("\n\n... ["), left_out, F.lit(" additional changed file(s) omitted for length]"))
     return packed.select("pr_id", F.concat("text", F.when(left_out > 0, note).otherwise("")).alias("diff"))
@@ -83,7 +88,7 @@ def commit_text(commits: DataFrame, budget: int = fixed.COMMIT_BUDGET) -> DataFr
     numbered = commits.withColumn("_m", message).where(F.col("_m") != "").select(
         "pr_id", "commit_ord", F.concat(F.col("commit_ord") + 1, F.lit(". "), F.col("_m")).alias("block")
     )
-    packed = pack(numbered, "pr_id", ["commit_ord"], budget, "\n")
+    packed = pack(numbered, "pr_id", ["commit_ord"], budget, "\n", SHORTEST_COMMIT_BLOCK)
     left_out = F.col("n_blocks") - F.col("n_kept")
     note = F.concat(F.lit("\n... ["), left_out, F.lit(" additional commit message(s) omitted for length]"))
     filled = F.concat("text", F.when(left_out > 0, note).otherwise(""))

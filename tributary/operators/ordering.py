@@ -37,46 +37,55 @@ def prefix_sums(
 ) -> DataFrame:
     """Add ``before_<s>``: the sum of ``s`` over the rows of the group that sort earlier.
 
-    ``bucket`` must be a non-decreasing function of ``order``; ``order`` must be
-    unique within a group, and the keys must not be null.
+    ``bucket`` must be a non-decreasing function of ``order``, and ``order`` unique
+    within a group.  Null keys form a group of their own; null order values sort last.
     """
-    keys = list(keys)
-    bucketed = frame.withColumn("_bucket", bucket)
-    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucketed, per_bucket_of, inside = _slots(frame, keys, order, bucket)
+    per_bucket = per_bucket_of(*[F.sum(s).alias(s) for s in sums])
+    earlier = _earlier(keys)
     offsets = per_bucket.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_offset_{s}") for s in sums]
-    )
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        "_slot", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_offset_{s}") for s in sums]
     )
-    joined = bucketed.join(offsets, [*keys, "_bucket"])
-    return joined.select(
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    return bucketed.join(offsets, "_slot").select(
         *frame.columns,
         *[
-            (F.col(f"_offset_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}")
+            (F.col(f"_offset_{s}") + F.coalesce(F.sum(s).over(before), F.lit(0))).alias(f"before_{s}")
             for s in sums
         ],
     )
 
 
+def _slots(frame: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column):
+    """The rows with their slot (keys and bucket as one struct, whose null fields join as equal),
+    the aggregation by slot, and the window inside a slot."""
+    bucketed = frame.withColumn("_slot", F.struct(*keys, bucket.alias("_bucket")))
+    inside = Window.partitionBy("_slot").orderBy(*[F.col(o).asc_nulls_last() for o in order])
+    return bucketed, lambda *aggregates: bucketed.groupBy("_slot").agg(*aggregates), inside
+
+
+def _group(keys: Sequence[str]):
+    return Window.partitionBy(*[F.col("_slot")[k] for k in keys])
+
+
+def _earlier(keys: Sequence[str]):
+    return _group(keys).orderBy(F.col("_slot._bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def ordinal(
     frame: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "ordinal"
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group, and the group size ``<name>_of``."""
-    keys = list(keys)
-    bucketed = frame.withColumn("_bucket", bucket)
-    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *keys,
-        "_bucket",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(group).alias("_size"),
+    """Add the 1-based position of each row in its group, and the group size ``<name>_of``.
+
+    Nulls count as in :func:`prefix_sums`: a group of null keys, null order values last.
+    """
+    bucketed, per_bucket_of, inside = _slots(frame, keys, order, bucket)
+    offsets = per_bucket_of(F.count(F.lit(1)).alias("_n")).select(
+        "_slot",
+        F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(_group(keys)).alias("_size"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return bucketed.join(offsets, [*keys, "_bucket"]).select(
+    return bucketed.join(offsets, "_slot").select(
         *frame.columns,
         (F.col("_offset") + F.row_number().over(inside)).alias(name),
         F.col("_size").alias(f"{name}_of"),

@@ -108,9 +108,10 @@ def roc_auc(frame: DataFrame, keys: Sequence[str], score: str, y: str = "y") ->
     """Area under the ROC curve per group, equal scores counted half.
 
     Equal scores collapse to one row before anything is ordered; the negatives
-    below a score are a prefix sum over score buckets.  Scores lie in [0, 1].
+    below a score are a prefix sum over score buckets.  Scores lie in [0, 1]; rows
+    without a score are left out.
     """
-    counts = frame.groupBy(*keys, score).agg(
+    counts = frame.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     ranked = prefix_sums(counts, list(keys), [score], ["neg"], unit_bucket(score))
     won = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))

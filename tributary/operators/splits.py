@@ -13,9 +13,9 @@ from tributary.operators.sampling import draw_order
 def time_split(frame: DataFrame, fraction: float = fixed.TRAIN_FRACTION) -> DataFrame:
     """Add ``side``: the oldest ``int(n * fraction)`` rows of each repository are ``train``, the rest ``test``.
 
-    Equal timestamps are ordered by id.
+    Equal timestamps are ordered by id, missing ones come last; rows without a repository are left out.
     """
-    placed = ordinal(frame, ["repo"], ["created_at", "pr_id"], day_bucket("created_at"), "_place")
+    placed = ordinal(frame.where(F.col("repo").isNotNull()), ["repo"], ["created_at", "pr_id"], day_bucket("created_at"), "_place")
     cut = F.floor(F.col("_place_of") * F.lit(fraction))
     return placed.withColumn("side", F.when(F.col("_place") <= cut, "train").otherwise("test")).drop("_place", "_place_of")
 
@@ -43,7 +43,10 @@ def split_check(split: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def stratified_folds(frame: DataFrame, folds: int = fixed.FOLDS, seed: int = fixed.SEED) -> DataFrame:
-    """Add ``fold``: each class dealt out in seeded order, so folds hold equal shares of it."""
-    shuffled = frame.withColumn("_draw", draw_order(F.col("pr_id"), seed))
+    """Add ``fold``: each class dealt out in seeded order, so folds hold equal shares of it.
+
+    Rows without a class are left out.
+    """
+    shuffled = frame.where(F.col("y").isNotNull()).withColumn("_draw", draw_order(F.col("pr_id"), seed))
     dealt = ordinal(shuffled, ["y"], ["_draw", "pr_id"], F.substring("_draw", 1, 3), "_turn")
     return dealt.withColumn("fold", ((F.col("_turn") - 1) % folds).cast("int")).drop("_draw", "_turn", "_turn_of")

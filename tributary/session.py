@@ -25,6 +25,8 @@ def build_session(app_name: str = "tributary", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # k-per-group filters prune inside the map tasks up to this k
+        "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
         **conf,
     }
     for key, value in settings.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 USAGE = "struct<total_time:double,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>"
 LOG_SCHEMA = f"""
@@ -20,9 +21,20 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return table.select(*columns) if columns else table
 
 
+def _parsed_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    whole = f"{schema}, _corrupt_record string"
+    return lines.select("value", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("row"))
+
+
 def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
-    """An answer log of JSON lines; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """An answer log of JSON lines; blank lines and lines that a killed run cut off are left out."""
+    return _parsed_log(spark, path, schema).where("row._corrupt_record is null").select("row.*").drop("_corrupt_record")
+
+
+def rejected_log_lines(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
+    """The lines of an answer log that :func:`read_log` leaves out, but for blank ones."""
+    return _parsed_log(spark, path, schema).where("row._corrupt_record is not null").select(F.col("value").alias("line"))
 
 
 def append_log(rows: DataFrame, path: str) -> None:
