@@ -8,6 +8,7 @@ from tributary.catalog.registry import query
 from tributary.fixed_values import CARRIER_COLUMNS, V0_COLUMNS, V1_COLUMNS, V2_COLUMNS
 from tributary.functions import patches, text
 from tributary.operators import features, structure
+from tributary.operators.stats import share
 from tributary.plans.feature_tables import assemble_features, feature_table
 
 ALL = ["pull_requests", "files_changed", "commits", "reviews", "review_comments", "issue_comments"]
@@ -285,6 +286,20 @@ def ratios(pull_requests):
         F.round(text.log_count(added), 6).alias("log_additions"), F.round(text.signed_log(net), 6).alias("signed_log_net"))
 
 
+@query("FUN9_shares", "pull_requests", sql="""SELECT repo, round(count(*) FILTER (is_merged) / nullif(count(*) FILTER (state <> 'OPEN'), 0), 4) AS merged_share,
+       round(count(*) FILTER (is_merged) / nullif(count(*) FILTER (state = 'NONE'), 0), 4) AS no_share FROM pull_requests GROUP BY repo""")
+def shares(pull_requests):
+    merged = F.count_if("is_merged")
+    return pull_requests.groupBy("repo").agg(
+        share(merged, F.count_if(F.col("state") != "OPEN")).alias("merged_share"), share(merged, F.count_if(F.col("state") == "NONE")).alias("no_share"))
+
+
+@query("FUN11_placeholders", "commits", sql="""SELECT pr_id, commit_ord,
+       coalesce(nullif(regexp_replace(regexp_replace(message, '^\\s+', ''), '\\s+$', ''), ''), '(no message)') AS message FROM commits""")
+def placeholders(commits):
+    return commits.select("pr_id", "commit_ord", text.or_placeholder(F.col("message"), "(no message)").alias("message"))
+
+
 @query("FUN7_directories", "files_changed", sql="""SELECT filename,
        CASE WHEN contains(filename, '/') THEN regexp_extract(filename, '^(.*)/', 1) ELSE '(repo root)' END AS directory,
        regexp_extract(filename, '[^/]*$') AS base_name, count(*) AS n FROM files_changed GROUP BY ALL""")

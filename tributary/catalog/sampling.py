@@ -80,20 +80,20 @@ def folds(pull_requests):
 @query("SMP1_quota_fill", "pull_requests", steps={
     "priority": """SELECT repo, number, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, id) AS rn
         FROM pull_requests WHERE is_ai_authored AND state <> 'OPEN'""",
-    "taken": "SELECT repo, number, rn FROM priority WHERE rn <= 60",
+    "taken": "SELECT repo, number, rn FROM priority WHERE rn <= 100",
     "sizes": "SELECT repo, count(*) AS n FROM taken GROUP BY repo",
     "fill": """SELECT p.repo, p.number, row_number() OVER (PARTITION BY p.repo ORDER BY created_at DESC, id) AS rn
         FROM pull_requests p LEFT JOIN taken t ON t.repo = p.repo AND t.number = p.number
         WHERE state <> 'OPEN' AND t.number IS NULL"""},
     sql="""SELECT repo, number, true AS from_priority, rn AS position FROM taken
        UNION ALL SELECT f.repo, f.number, false, f.rn + coalesce(s.n, 0) FROM fill f LEFT JOIN sizes s ON s.repo = f.repo
-       WHERE f.rn <= 150 - coalesce(s.n, 0)""")
+       WHERE f.rn <= 300 - coalesce(s.n, 0)""")
 def quota(pull_requests):
     recent = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("a"), F.col("id").alias("b"))
     closed = pull_requests.where("state <> 'OPEN'")
     columns = ["repo", "number", recent.alias("ord")]
     return sampling.quota_fill(
-        closed.where("is_ai_authored").select(*columns), closed.select(*columns), target=150, cap=60)
+        closed.where("is_ai_authored").select(*columns), closed.select(*columns))
 
 
 @query("SMP2_distinct_in_order", "events", sql_views=[],
