@@ -22,7 +22,7 @@ def test_packing_equals_the_greedy_loop(spark):
     groups = {k: ["x" * rng.choice([1, 2, 5, 9, 30, 61]) + str(i) for i in range(n)] for k, n in (("a", 400), ("b", 3), ("c", 40))}
     rows = [(k, i, b) for k, bs in groups.items() for i, b in enumerate(bs)]
     frame = spark.createDataFrame(rows, "pr_id string, ord long, block string")
-    got = {r["pr_id"]: r for r in contexts.pack(frame, "pr_id", ["ord"], 200, "|").collect()}
+    got = {r["pr_id"]: r for r in contexts.pack(frame, "pr_id", ["ord"], 200, "|", shortest=2).collect()}
     for key, blocks in groups.items():
         kept = greedy(blocks, 200)
         assert got[key]["text"] == "|".join(kept)
