@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import decontaminate, packing, quality_classifier, secret_scan, simhash
+from tributary.llm import decontaminate, packing, quality_classifier, secret_scan, similar_texts
 from tributary.llm.registry import query, table
 from tributary.session import scratch_path
 
@@ -19,8 +19,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (5-word shingles, similarity from 0.8): the one with the least id."""
+    return similar_texts.keep_one(docs)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

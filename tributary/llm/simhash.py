@@ -19,7 +19,7 @@ but never name a component, unless no row of it has an id (component null).  Rep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -113,9 +113,9 @@ def _links(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray,
     return np.concatenate(found_l), np.concatenate(found_r)
 
 
-def _stars(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For links between places a and b, each linked fingerprint with one that stands for its component."""
-    label = np.arange(len(prints))
+def spanning_stars(size: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links between places a and b of ``size``, each linked place and the one that stands for its component."""
+    label = np.arange(size)
     while True:
         low = np.minimum(label[a], label[b])
         after = label.copy()
@@ -125,8 +125,14 @@ def _stars(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
         if (after == label).all():
             break
         label = after
-    moved = np.flatnonzero(label != np.arange(len(prints)))
-    return prints[moved], prints[label[moved]]
+    moved = np.flatnonzero(label != np.arange(size))
+    return moved, label[moved]
+
+
+def _stars(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links between places a and b, each linked fingerprint with one that stands for its component."""
+    moved, centre = spanning_stars(len(prints), a, b)
+    return prints[moved], prints[centre]
 
 
 def _compare(parts: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,18 +153,25 @@ def _near(pair: np.ndarray) -> bool:
     return bool((np.abs(far[0] - far[1]) <= RADIUS).all())
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of each block; rows arrive sorted by key and block, so a block may reach over batches."""
+def _compare_rows(part: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = _compare(part, prints.view(np.uint64))
+    return a.view(np.int64), b.view(np.int64)
+
+
+def block_links(batches: Iterator[pa.RecordBatch], compare: Callable[..., tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Stars (a, b) of each block: ``compare`` of its columns after key and block.
+
+    Rows arrive sorted by key and block, so a block may reach over batches.
+    """
     rest = pd.DataFrame()
 
     def stars(rows: pd.DataFrame) -> pa.RecordBatch:
-        prints, parts = rows["print"].to_numpy(np.int64).view(np.uint64), rows["part"].to_numpy()
         keys, blocks = rows["key"].to_numpy(), rows["block"].to_numpy()
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])])
-        found = [_compare(parts[s:e], prints[s:e]) for s, e in zip(starts, np.r_[starts[1:], len(rows)]) if e - s > 1]
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        others = [rows[name].to_numpy() for name in rows.columns[2:]]
+        found = [compare(*(x[s:e] for x in others)) for s, e in zip(starts, np.r_[starts[1:], len(rows)]) if e - s > 1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(side) if found else [], kind) for side in (list(zip(*found)) or [(), ()])], names=["a", "b"])
 
     for batch in batches:
         rows = pd.concat([rest, batch.to_pandas()], ignore_index=True)
@@ -173,6 +186,22 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(rest.reset_index(drop=True))
 
 
+def blocks_of(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (key and the column ``name``) of keys that meet, with the blocks and parts in which they are compared."""
+    meeting = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    cuts = F.ceil(F.col("n") / BLOCK)
+    part = F.pmod(F.xxhash64(name), F.col("cuts"))
+    many = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda other: F.struct(
+        (F.least("own", other) * F.col("cuts") + F.greatest("own", other)).alias("block"),
+        F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).alias("part")))
+    return (
+        rows.join(meeting.select("key", cuts.alias("cuts")), "key")
+        .withColumn("own", part)
+        .select("key", name, F.explode(many).alias("x"))
+        .select("key", F.col("x.block").alias("block"), F.col("x.part").alias("part"), name)
+    )
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints, column ``print``, whose components are those of all links."""
 
@@ -182,22 +211,10 @@ def links(prints: DataFrame) -> DataFrame:
             for key in band_keys(values.view(np.uint64)):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(values)], names=["key", "print"])
 
-    rows = prints.mapInArrow(keyed, "key long, print long")
-    meeting = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    cuts = F.ceil(F.col("n") / BLOCK)
-    part = F.pmod(F.xxhash64("print"), F.col("cuts"))
-    many = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda other: F.struct(
-        (F.least("own", other) * F.col("cuts") + F.greatest("own", other)).alias("block"),
-        F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).alias("part")))
-    blocks = (
-        rows.join(meeting.select("key", cuts.alias("cuts")), "key")
-        .withColumn("own", part)
-        .select("key", "print", F.explode(many).alias("x"))
-        .select("key", F.col("x.block").alias("block"), F.col("x.part").alias("part"), "print")
-    )
+    blocks = blocks_of(prints.mapInArrow(keyed, "key long, print long"), "print")
     return (
         blocks.repartition("key", "block").sortWithinPartitions("key", "block", "print")
-        .mapInArrow(_block_links, "a long, b long")
+        .mapInArrow(lambda batches: block_links(batches, _compare_rows, pa.int64()), "a long, b long")
     )
 
 
@@ -226,40 +243,46 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(members, "print").select("doc_id", "print", "component_id")
 
 
-def _one_of_each(docs: DataFrame, own: DataFrame, shingle: int) -> DataFrame:
-    """One row of ``docs`` for each (id, component) of ``own``, found by id and fingerprint."""
+def _one_of_each(docs: DataFrame, own: DataFrame, name: str, class_of: Callable, kind: pa.DataType) -> DataFrame:
+    """One row of ``docs`` for each (id, component) of ``own``, found by id and class."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            prints = np.array([fingerprint(text, shingle) for text in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(prints), *batch.columns], names=["__print", *batch.schema.names])
+            found = pa.array([class_of(text) for text in batch.column("text").to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([found, *batch.columns], names=["__class", *batch.schema.names])
 
-    schema = T.StructType([T.StructField("__print", T.LongType()), *docs.schema.fields])
-    found = own.select(F.col("doc_id").alias("__id"), F.col("print").alias("__found"), F.col("component_id").alias("__root"))
+    schema = T.StructType([T.StructField("__class", own.schema[name].dataType), *docs.schema.fields])
+    found = own.select(F.col("doc_id").alias("__id"), F.col(name).alias("__found"), F.col("component_id").alias("__root"))
     rows = docs.mapInArrow(printed, schema)
     return (
-        rows.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__print") == F.col("__found")))
+        rows.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__class") == F.col("__found")))
         .dropDuplicates(["__id", "__root"]).select(docs.columns)
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` but for near duplicates: of each component the row with the least id stays.
+def keep_least(docs: DataFrame, marked: DataFrame, name: str, class_of: Callable, kind: pa.DataType) -> DataFrame:
+    """Of each component of ``marked`` (doc_id, class ``name``, component_id) the row of ``docs`` with the least id.
 
-    Of rows that repeat an id inside a component one stays; rows without an id, which nothing names, all stay.
+    ``class_of`` gives the class of a text.  Of rows that repeat an id inside a component one stays; rows without
+    an id, which nothing names, all stay.
     """
-    marked = cut_lineage(near_duplicates(docs, shingle))
-    kept = marked.filter("doc_id = component_id").select("doc_id", "print").distinct()
+    marked = cut_lineage(marked)
+    own = marked.filter("doc_id = component_id").select("doc_id", name, "component_id").distinct()
+    kept = own.select("doc_id").distinct()
     unnamed = docs.filter("doc_id is null")
     repeated = marked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(unnamed)
-    # an id may stand for several texts: those rows are told apart by their fingerprints
-    once = docs.join(repeated, "doc_id", "left_anti").join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(unnamed)
+    # an id may stand for several texts: those rows are told apart by their classes
+    once = docs.join(repeated, "doc_id", "left_anti").join(kept, "doc_id", "left_semi").select(docs.columns)
     often = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
-    own = marked.filter("doc_id = component_id").select("doc_id", "print", "component_id").distinct()
-    return once.unionByName(_one_of_each(often, own, shingle)).unionByName(unnamed)
+    return once.unionByName(_one_of_each(often, own, name, class_of, kind)).unionByName(unnamed)
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: of each component the row with the least id stays."""
+    return keep_least(docs, near_duplicates(docs, shingle), "print",
+                      lambda text: int(np.uint64(fingerprint(text, shingle)).astype(np.int64)), pa.int64())
 
 
 @query("op5_simhash_near_duplicates")
