@@ -5,7 +5,7 @@ more.  That lies about 10 bits apart in 64, too far for the exact keys of :mod:`
 
 * a fingerprint has ``BITS`` bits over the distinct shingles.  Two sets of similarity s differ in a share
   acos(2s / (1 + s)) / pi of the bits on average.  Texts link at ``RADIUS`` or fewer differing bits: the mean at 0.8 and two
-  standard deviations, so pairs from 0.8 are found, and pairs between about 0.73 and 0.8 may be;
+  standard deviations, so pairs from 0.8 are found, and pairs between about 0.75 and 0.8 may be;
 * pairs meet by keys of shingles: each of ``KEYS`` keys joins ``LEAST`` minima of the shingle hashes, which keeps a pair
   of similarity 0.8 together with probability 0.995, and unrelated texts apart at any number of rows;
 * of texts that meet, those whose distances to a reference fingerprint (some of the block serve as pivots) differ by more
@@ -36,7 +36,7 @@ from tributary.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS = 1024
+BITS = 2048
 _SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 RADIUS = round(BITS * _SHARE + 2 * math.sqrt(BITS * _SHARE * (1 - _SHARE)))
 KEYS = 10
