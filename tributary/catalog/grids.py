@@ -13,7 +13,8 @@ from tributary.catalog.texts import (
 )
 from tributary.operators import contexts, features, prompts, replay, splits
 from tributary.plans import grids
-from tributary.session import cut_lineage
+from tributary.plans.run_grid import run_grid
+from tributary.session import cut_lineage, scratch_path
 
 KEYS = "pr_id, context_kind, strategy, task"
 
@@ -198,8 +199,33 @@ def budgeted(grid_cells, grid):
     count(*) FILTER (now AND error IS NULL AND pr_id % 2 = 1) AS n_new_api_calls,
     count(*) FILTER (NOT done AND NOT now) AS n_cache_misses_skipped FROM c""")
 def counters(grid_cells, grid):
-    written = grid.where("total_time IS NOT NULL AND latency_ms IS NULL").withColumn("from_cache", F.col("pr_id") % 2 == 0)
-    return replay.run_counters(grid_cells, grid.where("latency_ms IS NOT NULL"), written)
+    """The second of two runs against one log: the first answers some cells, this one finds them recorded."""
+    log = scratch_path(grid.sparkSession, "run-log")
+    run_grid(grid_cells, log, _answers_where(grid, "latency_ms IS NOT NULL"))
+    return run_grid(grid_cells, log, _answers_where(grid, "total_time IS NOT NULL AND latency_ms IS NULL")).drop("stopped_reason")
+
+
+def _answers_where(grid, condition: str):
+    """A responder that knows the answers of the grid rows that fit ``condition``."""
+    known = grid.where(condition).select(
+        F.col("pr_id").cast("string").alias("pr_id"), "repo", *replay.CELL[1:], "response_text", "error",
+        (F.col("pr_id") % 2 == 0).alias("from_cache"), "latency_ms")
+    return lambda pending: known.join(pending.select(*replay.CELL), replay.CELL, "left_semi")
+
+
+@query("AGG25_budgeted_run", "grid_cells", "grid", steps={
+    "m": MISSING, "b": f"SELECT *, row_number() OVER (ORDER BY CAST(pr_id AS VARCHAR), {', '.join(replay.CELL[1:])}) <= 50 AS asked FROM m",
+    "w": f"SELECT b.asked, g.error, g.pr_id IS NOT NULL AS wrote, b.pr_id % 2 = 1 AS live FROM b "
+         f"LEFT JOIN (SELECT * FROM grid WHERE total_time IS NOT NULL) AS g USING ({KEYS})"},
+    sql="""SELECT (SELECT count(*) FROM grid_cells) AS total_cells, (SELECT count(*) FROM grid_cells) - count(*) AS n_skipped_already_done,
+    count(*) FILTER (asked AND wrote) AS n_written_this_run, count(*) FILTER (asked AND wrote AND error IS NOT NULL) AS n_recorded_failures,
+    count(*) FILTER (asked AND wrote AND error IS NULL AND live) AS n_new_api_calls,
+    count(*) FILTER (asked AND NOT wrote) AS n_cache_misses_skipped,
+    CASE WHEN count(*) > 50 THEN 'max_new_calls reached' END AS stopped_reason FROM w""")
+def budgeted_run(grid_cells, grid):
+    log = scratch_path(grid.sparkSession, "run-log")
+    run_grid(grid_cells, log, _answers_where(grid, "latency_ms IS NOT NULL"))
+    return run_grid(grid_cells, log, _answers_where(grid, "total_time IS NOT NULL"), max_new=50)
 
 
 

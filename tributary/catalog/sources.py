@@ -77,8 +77,11 @@ register("FLT9_truncated_connections", ["commits", "pull_requests"],
 
 
 def fanned_out(spark: SparkSession, sf_dir: str):
-    path = scratch_path(spark, "tables")
-    written = records.write_tables(records.build_tables(landed(spark, sf_dir)), path)
+    return table_counts(spark, records.write_tables(records.build_tables(landed(spark, sf_dir)), scratch_path(spark, "tables")))
+
+
+def table_counts(spark: SparkSession, written: list[str]):
+    """Name and number of rows of each written table."""
     parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(p.rsplit("/", 1)[1])) for p in written]
     result = parts[0]
     for part in parts[1:]:
@@ -86,14 +89,16 @@ def fanned_out(spark: SparkSession, sf_dir: str):
     return result
 
 
-register("SRC4_FLT8_fan_out", CHILDREN,
-         "SELECT 'pull_requests' AS name, count(*) AS n FROM pull_requests UNION ALL SELECT 'ai_signals', count(*) FROM pull_requests "
-         "UNION ALL SELECT 'commits', count(*) FROM commits WHERE pr_id IN (SELECT id FROM pull_requests) "
-         "UNION ALL SELECT 'files_changed', count(*) FROM files_changed WHERE pr_id IN (SELECT id FROM pull_requests) "
-         "UNION ALL SELECT 'reviews', (SELECT count(*) FROM reviews WHERE pr_id IN (SELECT id FROM pull_requests)) + "
-         "(SELECT count(DISTINCT pr_id) FROM review_comments WHERE pr_id IN (SELECT id FROM pull_requests)) "
-         "UNION ALL SELECT 'review_comments', count(*) FROM review_comments WHERE pr_id IN (SELECT id FROM pull_requests) "
-         "UNION ALL SELECT 'issue_comments', count(*) FROM issue_comments WHERE pr_id IN (SELECT id FROM pull_requests)", fanned_out)
+TABLE_COUNTS = (
+    "SELECT 'pull_requests' AS name, count(*) AS n FROM pull_requests UNION ALL SELECT 'ai_signals', count(*) FROM pull_requests "
+    "UNION ALL SELECT 'commits', count(*) FROM commits WHERE pr_id IN (SELECT id FROM pull_requests) "
+    "UNION ALL SELECT 'files_changed', count(*) FROM files_changed WHERE pr_id IN (SELECT id FROM pull_requests) "
+    "UNION ALL SELECT 'reviews', (SELECT count(*) FROM reviews WHERE pr_id IN (SELECT id FROM pull_requests)) + "
+    "(SELECT count(DISTINCT pr_id) FROM review_comments WHERE pr_id IN (SELECT id FROM pull_requests)) "
+    "UNION ALL SELECT 'review_comments', count(*) FROM review_comments WHERE pr_id IN (SELECT id FROM pull_requests) "
+    "UNION ALL SELECT 'issue_comments', count(*) FROM issue_comments WHERE pr_id IN (SELECT id FROM pull_requests)")
+
+register("SRC4_FLT8_fan_out", CHILDREN, TABLE_COUNTS, fanned_out)
 
 
 def logged(spark: SparkSession, sf_dir: str):
@@ -127,14 +132,22 @@ register("SRC6_small_result_file", ["pull_requests"], MERGE_STATUS, small_file,
 def streamed_ingest(spark: SparkSession, sf_dir: str):
     path, output = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
     nested(spark, sf_dir).write.json(path)
-    stream = spark.readStream.schema(records.RECORD_SCHEMA).json(path)
-    jobs.ingest(stream, output, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(f"{output}/commits").drop("batch_id")
+    jobs.ingest(jobs.stream_records(spark, path, multi_line=False), output, scratch_path(spark, "progress")).awaitTermination()
+    return output
 
 
 register("STR1_streamed_ingest", ["commits", "pull_requests"],
          "SELECT CAST(pr_id AS VARCHAR) AS pr_id, commit_ord, sha, message, author_name, author_email, author_login, additions, deletions "
-         "FROM commits WHERE pr_id IN (SELECT id FROM pull_requests)", streamed_ingest)
+         "FROM commits WHERE pr_id IN (SELECT id FROM pull_requests)",
+         lambda s, d: s.read.parquet(f"{streamed_ingest(s, d)}/commits").drop("batch_id"))
+
+
+def streamed_tables(spark: SparkSession, sf_dir: str):
+    output = streamed_ingest(spark, sf_dir)
+    return table_counts(spark, [f"{output}/{name}" for name in [*CHILDREN, "ai_signals"]])
+
+
+register("STR1_streamed_tables", CHILDREN, TABLE_COUNTS, streamed_tables)
 
 
 def streamed_distinct(spark: SparkSession, sf_dir: str):
@@ -154,13 +167,16 @@ register("STR2_distinct_within_watermark", [], "SELECT event_id, event_type FROM
 def streamed_resume(spark: SparkSession, sf_dir: str):
     path, output = scratch_path(spark, "wanted"), scratch_path(spark, "answered")
     cells = corpus_view(spark, sf_dir, "grid_cells").select(*replay.CELL)
-    cells.write.parquet(path)
-    done = corpus_view(spark, sf_dir, "grid").where("latency_ms IS NOT NULL").select(*replay.CELL)
-    stream = spark.readStream.schema(cells.schema).parquet(path)
-    jobs.resume_grid(
-        stream, lambda: done, lambda pending: pending.withColumn("response_text", F.lit("answered")), output,
-        scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(output).drop("batch_id")
+    done = corpus_view(spark, sf_dir, "grid").where("latency_ms IS NOT NULL").select(*replay.CELL, F.lit("earlier").alias("response_text"))
+    done.write.parquet(f"{output}/batch_id=-1")
+    progress = scratch_path(spark, "progress")
+    # some cells arrive first; then all do, and those that the first run answered are found in what it wrote
+    for arriving in (cells.where("pr_id % 2 = 0"), cells):
+        arriving.write.mode("append").parquet(path)
+        jobs.resume_grid(
+            spark.readStream.schema(cells.schema).parquet(path), lambda: spark.read.parquet(output),
+            lambda pending: pending.withColumn("response_text", F.lit("answered")), output, progress).awaitTermination()
+    return spark.read.parquet(output).where("batch_id >= 0").drop("batch_id")
 
 
 register("STR4_resumed_grid", ["grid_cells", "grid"],

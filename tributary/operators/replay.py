@@ -84,23 +84,28 @@ def budgeted(cells: DataFrame, max_new: int) -> DataFrame:
     return cells.orderBy(*CELL).limit(max_new)
 
 
-def run_counters(cells: DataFrame, recorded: DataFrame, written: DataFrame) -> DataFrame:
+def run_counters(cells: DataFrame, recorded: DataFrame, written: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """Total, skipped, written, failed, live calls and cache misses of one run.
 
-    ``written`` are the rows of this run: cell columns, ``error``, ``from_cache``.
+    ``written`` are the rows of this run: cell columns, ``error``, ``from_cache``.  Where a budget left pending cells
+    out, ``asked`` are the others, and only those can be misses.
     """
     done = recorded.select(*CELL).distinct().withColumn("_done", F.lit(True))
     now = written.select(*CELL, F.lit(True).alias("_now"), "error", "from_cache")
     marked = cells.select(*CELL).join(done, CELL, "left").join(now, CELL, "left")
     skipped = F.coalesce("_done", F.lit(False))
     wrote = F.coalesce("_now", F.lit(False))
+    missed = ~skipped & ~wrote
+    if asked is not None:
+        marked = marked.join(asked.select(*CELL).distinct().withColumn("_asked", F.lit(True)), CELL, "left")
+        missed = missed & F.coalesce("_asked", F.lit(False))
     return marked.agg(
         F.count(F.lit(1)).alias("total_cells"),
         F.count_if(skipped).alias("n_skipped_already_done"),
         F.count_if(~skipped & wrote).alias("n_written_this_run"),
         F.count_if(~skipped & wrote & F.col("error").isNotNull()).alias("n_recorded_failures"),
         F.count_if(~skipped & wrote & F.col("error").isNull() & ~F.coalesce("from_cache", F.lit(False))).alias("n_new_api_calls"),
-        F.count_if(~skipped & ~wrote).alias("n_cache_misses_skipped"),
+        F.count_if(missed).alias("n_cache_misses_skipped"),
     )
 
 

@@ -21,11 +21,11 @@ def _start(frame: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     )
 
 
-def stream_records(spark: SparkSession, path: str) -> DataFrame:
-    """New record documents as they land."""
+def stream_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """New record documents as they land: one document a file, or one a line."""
     raw = (
         spark.readStream.schema(f"{records.RECORD_SCHEMA}, {records.CORRUPT} string")
-        .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", records.CORRUPT).json(path)
+        .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", records.CORRUPT).json(path)
     )
     return raw.where(F.col(records.CORRUPT).isNull() & F.col("pull_request").isNotNull()).drop(records.CORRUPT)
 
@@ -38,9 +38,11 @@ def ingest(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        for name, table in records.build_tables(batch).items():
-            table.write.mode("overwrite").parquet(f"{output}/{name}/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            for name, table in records.build_tables(batch).items():
+                table.write.mode("overwrite").parquet(f"{output}/{name}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return _start(stream, each, checkpoint)
 
@@ -56,10 +58,12 @@ def score_diffs(stream: DataFrame, model: PipelineModel, output: str, refused: s
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        scored = score(model, diff_features(batch)).select("diff_id", "probability", "prediction")
-        scored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-        unparseable(batch).select("diff_id").write.mode("overwrite").parquet(f"{refused}/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            scored = score(model, diff_features(batch)).select("diff_id", "probability", "prediction")
+            scored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+            unparseable(batch).select("diff_id").write.mode("overwrite").parquet(f"{refused}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return _start(stream, each, checkpoint)
 
@@ -69,10 +73,14 @@ def resume_grid(
 ) -> StreamingQuery:
     """Answer only cells that the log does not hold yet.
 
-    ``recorded`` reads the log anew for every batch; ``answer`` maps pending cells to rows.
+    ``recorded`` reads the log anew for every batch, and may read ``output`` itself: a batch that is replayed after a
+    failure does not take its own rows for earlier ones.  ``answer`` maps pending cells to rows.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        pending = missing_cells(batch.dropDuplicates(CELL), recorded())
+        before = recorded()
+        if "batch_id" in before.columns:
+            before = before.where(F.col("batch_id") != batch_id)
+        pending = missing_cells(batch.dropDuplicates(CELL), before)
         answer(pending).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     return _start(stream, each, checkpoint)
