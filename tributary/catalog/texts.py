@@ -296,16 +296,27 @@ def metadata(pull_requests, files_changed):
     return contexts.metadata_text(pull_requests, files_changed)
 
 
-@query("CTX4_context_kinds", "pull_requests", "files_changed", "commits",
-       steps={**diff_steps(16000, 4000), **commit_steps(4000), **META_STEPS,
-              "parts": f"""SELECT p.id AS pr_id, coalesce(nullif({strip_sql('p.body')}, ''), '(no PR description provided)') AS body,
-                  concat('Diff:', chr(10), coalesce(d.diff, '(no file diff available)')) AS diff,
-                  coalesce(c.commit_message, '(no commit messages available)') AS msgs, m.metadata FROM pull_requests p
-                  LEFT JOIN diff d ON d.pr_id = p.id LEFT JOIN cmsg c ON c.pr_id = p.id LEFT JOIN meta m ON m.pr_id = p.id""",
-              "kinds": """SELECT pr_id, 'diff_only' AS context_kind, diff AS t FROM parts
-                  UNION ALL SELECT pr_id, 'diff_description', concat('PR description:', chr(10), body, chr(10), chr(10), diff) FROM parts
-                  UNION ALL SELECT pr_id, 'diff_commit_message', concat('Commit messages:', chr(10), msgs, chr(10), chr(10), diff) FROM parts
-                  UNION ALL SELECT pr_id, 'diff_metadata', concat(metadata, chr(10), chr(10), diff) FROM parts"""},
+CONTEXT_STEPS = {
+    **diff_steps(16000, 4000), **commit_steps(4000), **META_STEPS,
+    "parts": f"""SELECT p.id AS pr_id, coalesce(nullif({strip_sql('p.body')}, ''), '(no PR description provided)') AS body,
+        concat('Diff:', chr(10), coalesce(d.diff, '(no file diff available)')) AS diff,
+        coalesce(c.commit_message, '(no commit messages available)') AS msgs, m.metadata FROM pull_requests p
+        LEFT JOIN diff d ON d.pr_id = p.id LEFT JOIN cmsg c ON c.pr_id = p.id LEFT JOIN meta m ON m.pr_id = p.id""",
+    "kinds": """SELECT pr_id, 'diff_only' AS context_kind, diff AS t FROM parts
+        UNION ALL SELECT pr_id, 'diff_description', concat('PR description:', chr(10), body, chr(10), chr(10), diff) FROM parts
+        UNION ALL SELECT pr_id, 'diff_commit_message', concat('Commit messages:', chr(10), msgs, chr(10), chr(10), diff) FROM parts
+        UNION ALL SELECT pr_id, 'diff_metadata', concat(metadata, chr(10), chr(10), diff) FROM parts""",
+}
+
+
+@query("CTX4_whole_contexts", "pull_requests", "files_changed", "commits", steps=CONTEXT_STEPS,
+       sql="SELECT pr_id, context_kind, CAST(length(t) AS BIGINT) AS chars, md5(t) AS text_key FROM kinds")
+def whole_kinds(*tables):
+    return contexts.pr_contexts(*tables).select(
+        "pr_id", "context_kind", F.length("context_text").cast("long").alias("chars"), F.md5("context_text").alias("text_key"))
+
+
+@query("CTX4_context_kinds", "pull_requests", "files_changed", "commits", steps=CONTEXT_STEPS,
        sql="""SELECT pr_id, context_kind, CAST(length(c) AS BIGINT) AS chars, md5(c) AS text_key FROM (SELECT pr_id, context_kind,
        CASE WHEN length(t) > 700 THEN concat(substr(t, 1, 700), chr(10), '... [context truncated to fit the LLM token budget]') ELSE t END AS c
        FROM kinds) AS k""")

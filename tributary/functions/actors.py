@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tributary import fixed_values as fixed
 from tributary.functions.text import strip
 
+# Fixed value: the no-reply address pattern.
 NO_REPLY = r"(?i)^(?:\d+\+)?([^@]+)@users\.noreply\.github\.com$"
 
 

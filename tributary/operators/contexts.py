@@ -197,6 +197,7 @@ def repo_context(files_changed: DataFrame, max_files: int = fixed.REPO_CONTEXT_F
         F.size(F.array_distinct(folders)) > 1,
         F.concat(F.lit("\nDirectories spanned:\n"), F.array_join(spans, "\n")),
     )
+    # The wording of this block, which stored answers depend on.
     closing = ("\n(Approximate: derived from the diff's own file list and git hunk headings, "
                "not from fetched file bodies or a call graph.)")
     return listed.select("pr_id", F.concat_ws(
