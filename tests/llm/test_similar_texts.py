@@ -81,3 +81,12 @@ def test_odd_rows(spark):
         assert kept.columns == docs.columns
         assert sorted((r[0] for r in rows(kept)), key=str) == sorted([1, 4, 7, 8, 9, None, None], key=str)
     assert rows(similar_texts.similar_texts(no_documents(spark))) == [] == rows(similar_texts.keep_one(no_documents(spark)))
+
+
+def test_short_texts_that_share_a_passage_stay(spark):
+    """Similarity 0.33 to 0.5: a text and one word more, and many texts with one beginning of five words."""
+    start = "one two three four five"
+    texts = {i: f"{start} x{i}" for i in range(40)} | {100 + i: f"a{i} b c d e" for i in range(40)} | {200 + i: f"a{i} b c d e f" for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {i: c for i, _, c in rows(similar_texts.similar_texts(docs))} == {i: i for i in texts}
+    assert similar_texts.keep_one(docs).count() == len(texts)

@@ -186,10 +186,14 @@ def block_links(batches: Iterator[pa.RecordBatch], compare: Callable[..., tuple]
         yield stars(rest.reset_index(drop=True))
 
 
-def blocks_of(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` (key and the column ``name``) of keys that meet, with the blocks and parts in which they are compared."""
-    meeting = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    cuts = F.ceil(F.col("n") / BLOCK)
+def blocks_of(rows: DataFrame, name: str, weight: tuple[str, int] | None = None) -> DataFrame:
+    """``rows`` (key and the column ``name``) of keys that meet, with the blocks and parts in which they are compared.
+
+    ``weight``: a column and the sum of it that one part may have on average, beside the number of rows.
+    """
+    heavy = F.ceil(F.sum(weight[0]) / weight[1]) if weight else F.lit(1).cast("long")
+    meeting = rows.groupBy("key").agg(F.count("*").alias("n"), heavy.alias("heavy")).filter("n > 1")
+    cuts = F.greatest(F.ceil(F.col("n") / BLOCK), "heavy")
     part = F.pmod(F.xxhash64(name), F.col("cuts"))
     many = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda other: F.struct(
         (F.least("own", other) * F.col("cuts") + F.greatest("own", other)).alias("block"),

@@ -1,19 +1,19 @@
-"""Near copies among whole texts: wide SimHash fingerprints, shingle keys and pivot distance tables.
+"""Near copies among whole texts: shingle keys, wide SimHash fingerprints, pivot distance tables and exact similarity.
 
 Two texts are near copies if their sets of 5-word shingles (A-Z lower-cased) have a Jaccard similarity of 0.8 or
-more.  That lies about 10 bits apart in 64, too far for the exact keys of :mod:`simhash`, so here
+more.  Texts with equal sets are one class from the start; links between classes are exact, as every one is verified on
+the two sets.
 
-* a fingerprint has ``BITS`` bits over the distinct shingles.  Two sets of similarity s differ in a share
-  acos(2s / (1 + s)) / pi of the bits on average.  Texts link at ``RADIUS`` or fewer differing bits: the mean at 0.8 and two
-  standard deviations, so pairs from 0.8 are found, and pairs between about 0.75 and 0.8 may be;
-* pairs meet by keys of shingles: each of ``KEYS`` keys joins ``LEAST`` minima of the shingle hashes, which keeps a pair
-  of similarity 0.8 together with probability 0.995, and unrelated texts apart at any number of rows;
-* of texts that meet, those whose distances to a reference fingerprint (some of the block serve as pivots) differ by more
-  than ``RADIUS`` are discarded, and the survivors are verified by their distance.
+* A fingerprint has ``BITS`` bits over the distinct shingles.  Two sets of similarity s differ in a share
+  acos(2s / (1 + s)) / pi of the bits on average; ``RADIUS`` is the mean at 0.8 and two standard deviations.
+* Classes meet by keys of shingles: each of ``KEYS`` keys joins ``LEAST`` minima of the shingle hashes, which keeps a pair
+  of similarity 0.8 together with probability 0.995, and unrelated texts apart at any number of rows.
+* Of classes that meet, those whose distances to a reference fingerprint (some of the block serve as pivots) or to each other
+  exceed ``RADIUS`` are discarded.  What is left makes components of candidates, inside which all sets are compared.
 
-Equal fingerprints are one class from the start; blocks, stars and components are those of :mod:`simhash`.
+Blocks, stars and components are those of :mod:`simhash`.
 
-A null or empty text, or one without words, has fingerprint zero and is a copy of any other such text.  A text of fewer than five
+A null or empty text, or one without words, has an empty set and is a copy of any other such text.  A text of fewer than five
 words is one shingle.  Rows with a null id take part in links but never name a component.  Repeated rows are returned each.
 """
 
@@ -44,6 +44,8 @@ LEAST = 4
 PIVOTS = 16
 #: Shingles that are hashed and counted at a time.
 COUNTED = 255 * 16
+#: Shingles of the sets that one block compares, if no set is larger.
+COMPARED = 1 << 21
 
 
 def _draws(count: int, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +76,8 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(each, np.uint64, len(words) - shingle + 1))
 
 
-def sketch(text: str | None) -> tuple[bytes, list[int]]:
-    """The fingerprint and the keys (signed longs) of a text; without words, zero and no keys."""
-    hashes = shingle_hashes(text)
-    if not len(hashes):
-        return bytes(BITS // 8), []
+def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """The fingerprint and the keys (signed longs) of a set of shingle hashes, which is not empty."""
     ones = np.zeros(BITS, np.int64)
     least = np.full(KEYS * LEAST, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), COUNTED):
@@ -87,18 +86,21 @@ def sketch(text: str | None) -> tuple[bytes, list[int]]:
         for part in range(0, len(some), 255):  # as many ones fit a byte
             ones += _bits(some[part:part + 255]).sum(axis=0, dtype=np.uint8)
     # the first shingle decides where as many shingles have a bit as lack it
-    bits = ones * 2 + _bits(hashes[:1])[0] > len(hashes)
     keys = [xxhash.xxh64_intdigest(least[n * LEAST:(n + 1) * LEAST].tobytes(), n) for n in range(KEYS)]
-    return np.packbits(bits).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.packbits(ones * 2 + _bits(hashes[:1])[0] > len(hashes)).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _node(hashes: np.ndarray) -> bytes:
+    return hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest()
 
 
 def node_of(text: str | None) -> bytes:
-    """A short name for the class of a text: the MD5 digest of its fingerprint."""
-    return hashlib.md5(sketch(text)[0], usedforsecurity=False).digest()
+    """A short name for the class of a text: the MD5 digest of its sorted shingle hashes."""
+    return _node(shingle_hashes(text))
 
 
 def _links(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``left`` and ``right`` (rows of 64-bit words) whose fingerprints link."""
+    """Places in ``left`` and ``right`` (rows of 64-bit words) whose fingerprints are within RADIUS."""
     pivots = left[np.linspace(0, len(left) - 1, min(PIVOTS, len(left))).astype(int)]
     table_l, table_r = (
         np.stack([np.bitwise_count(side ^ pivot).sum(axis=1, dtype=np.int16) for pivot in pivots], axis=1) for side in (left, right))
@@ -112,7 +114,7 @@ def _links(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _compare(parts: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars among the classes of one block; ``parts``: 0 all with all, else 1 with 2 only."""
+    """Stars of candidates among the classes of one block; ``parts``: 0 all with all, else 1 with 2 only."""
     wide = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
     if parts[0] == 0:
         a, b = _links(wide, wide)
@@ -127,45 +129,110 @@ def _compare(parts: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> tuple[
     return nodes[moved], nodes[centre]
 
 
+def _reach(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, one of ``first`` and one of ``second``, whose sets have SIMILARITY; enough of them to span its components."""
+    sizes = np.array(list(map(len, sets)))
+    _, own = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [own[end - size:end] for end, size in zip(ends.tolist(), sizes.tolist())]
+    held = np.zeros(int(ends[-1]), bool)
+    label, found_a, found_b = np.arange(len(sets)), [], []
+    for at in first.tolist():
+        others = second[second > at] if first is second else second
+        # sets that are linked already need no comparison, nor do those of too different sizes
+        alike = np.minimum(sizes[others], sizes[at]) >= SIMILARITY * np.maximum(sizes[others], sizes[at]) - 1e-6
+        others = others[alike & (label[others] != label[at])]
+        if not len(others):
+            continue
+        held[own[at]] = True
+        starts = np.r_[0, np.cumsum(sizes[others])[:-1]]
+        common = np.add.reduceat(held[np.concatenate([own[i] for i in others.tolist()])], starts, dtype=np.int64)
+        held[own[at]] = False
+        near = others[common / (sizes[others] + sizes[at] - common) >= SIMILARITY]
+        if len(near):
+            found_a.append(np.full(len(near), at))
+            found_b.append(near)
+            label[np.isin(label, label[near])] = label[at]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+
+
+def _compare_sets(parts: np.ndarray, nodes: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars among the classes of one block by the exact similarity of their sets; ``parts`` as in :func:`_compare`."""
+    first = second = np.arange(len(nodes))
+    if parts[0] != 0:
+        first, second = np.flatnonzero(parts == 1), np.flatnonzero(parts == 2)
+        if not len(first) or not len(second):
+            return nodes[:0], nodes[:0]
+    moved, centre = spanning_stars(len(nodes), *_reach([np.frombuffer(x, np.uint64) for x in packed], first, second))
+    return nodes[moved], nodes[centre]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, print and keys (packed 64-bit words) of every row."""
+    """doc_id, node and size (distinct shingles) of every row; print and keys (packed 64-bit words) of those with words."""
 
     def start():
         def step(batch: Columns) -> Columns:
-            found = [sketch(text) for text in batch["text"]]
+            sets = [shingle_hashes(text) for text in batch["text"]]
+            found = [sketch(x) if len(x) else (None, None) for x in sets]
             return {
-                "doc_id": batch["doc_id"], "print": [p for p, _ in found],
-                "node": [hashlib.md5(p, usedforsecurity=False).digest() for p, _ in found],
-                "keys": [np.array(keys, np.int64).astype(">i8").tobytes() for _, keys in found],
+                "doc_id": batch["doc_id"], "node": [_node(x) for x in sets], "size": [len(x) for x in sets],
+                "print": [p for p, _ in found],
+                "keys": [None if keys is None else np.array(keys, np.int64).astype(">i8").tobytes() for _, keys in found],
             }
 
         return step
 
-    return map_columns(docs.select("doc_id", "text"), {"doc_id": "long", "print": "binary", "node": "binary", "keys": "binary"}, start)
+    return map_columns(
+        docs.select("doc_id", "text"),
+        {"doc_id": "long", "node": "binary", "size": "int", "print": "binary", "keys": "binary"}, start)
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose components are those of all links that meet; ``classes``: node, print, keys."""
-    number = F.sequence(F.lit(0), F.lit(KEYS - 1))
-    keyed = classes.filter(F.length("keys") > 0).select("node", F.explode(F.transform(number, lambda n: F.conv(
-        F.hex(F.substring("keys", n * 8 + 1, F.lit(8))), 16, -10).cast("long"))).alias("key"))
-    blocks = blocks_of(keyed, "node").join(classes.select("node", "print"), "node")
+def _in_blocks(blocks: DataFrame, name: str, compare) -> DataFrame:
+    """Stars (a, b) of ``blocks`` (key, block, part, node and the column ``name``)."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return block_links(batches, _compare, pa.binary())
+        return block_links(batches, compare, pa.binary())
 
     return (
         blocks.repartition("key", "block").sortWithinPartitions("key", "block", "node")
-        .select("key", "block", "part", "node", "print").mapInArrow(compared, "a binary, b binary")
+        .select("key", "block", "part", "node", name).mapInArrow(compared, "a binary, b binary")
     )
 
 
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose components hold those of all links that meet; ``classes``: node, print, keys."""
+    number = F.sequence(F.lit(0), F.lit(KEYS - 1))
+    keyed = classes.filter("keys is not null").select("node", F.explode(F.transform(number, lambda n: F.conv(
+        F.hex(F.substring("keys", n * 8 + 1, F.lit(8))), 16, -10).cast("long"))).alias("key"))
+    return _in_blocks(blocks_of(keyed, "node").join(classes.select("node", "print"), "node"), "print", _compare)
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose components are those of all links inside the components ``found`` of candidates."""
+    # components lists the nodes that move; their roots are members too
+    members = cut_lineage(found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+                          .join(classes.select("node", "least", "size"), "node"))
+    wanted = members.select("least").distinct()
+
+    def start():
+        def step(batch: Columns) -> Columns:
+            sets = [shingle_hashes(text) for text in batch["text"]]
+            return {"node": [_node(x) for x in sets], "set": [x.tobytes() for x in sets]}
+
+        return step
+
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
+    sets = map_columns(texts, {"node": "binary", "set": "binary"}, start).join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    keyed = members.select(F.xxhash64("root").alias("key"), "node", "size")
+    return _in_blocks(blocks_of(keyed, "node", ("size", COMPARED)).join(sets, "node"), "set", _compare_sets)
+
+
 def similar_texts(docs: DataFrame) -> DataFrame:
     """doc_id, ``node`` and ``component_id`` (the least id that links reach) of every row."""
     rows = cut_lineage(sketches(docs))
-    classes = cut_lineage(rows.groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.first("print").alias("print"), F.min("keys").alias("keys")))
-    found = components(links(classes))
+    classes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "print", "keys"))))
+    found = components(verified_links(docs, classes, components(candidate_links(classes))))
     roots = classes.select(F.col("node").alias("own"), "least").join(found, F.col("own") == F.col("node"), "left").select(
         "own", "least", F.coalesce("root", "own").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
