@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from helpers import ODD_ROWS, SCHEMA, have_tables, no_documents, odd_documents, rows, small
 
@@ -83,6 +85,19 @@ def test_odd_rows(spark):
     assert rows(similar_texts.similar_texts(no_documents(spark))) == [] == rows(similar_texts.keep_one(no_documents(spark)))
 
 
+def made_up(chance, lengths):
+    """Texts of each length and, of each, versions with words appended, cut off or replaced, and one that only begins alike."""
+    word = lambda: "".join(chance.choices("abcdefgh", k=6))
+    texts = []
+    for length in lengths:
+        base = [word() for _ in range(length)]
+        texts += [base, base + [word()], base + [word(), word()], base[:5] + [word() for _ in range(length - 5)], base[1:], base[2:-1]]
+        for at in (0, 1, length // 2, length - 1):
+            texts.append(base[:at] + [word()] + base[at + 1:])
+        texts.append(base[:5] + [word()])
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
 def test_short_texts_that_share_a_passage_stay(spark):
     """Similarity 0.33 to 0.5: a text and one word more, and many texts with one beginning of five words."""
     start = "one two three four five"
@@ -90,3 +105,30 @@ def test_short_texts_that_share_a_passage_stay(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {i: c for i, _, c in rows(similar_texts.similar_texts(docs))} == {i: i for i in texts}
     assert similar_texts.keep_one(docs).count() == len(texts)
+
+
+def test_the_limit_on_both_sides_from_6_to_130_words(spark, monkeypatch):
+    texts = made_up(random.Random(7), [*range(6, 61), *range(61, 131, 3)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, sets = roots(texts)
+    assert any(similarity(sets[i], sets[i + 1]) == 0.8 for i in range(len(texts) - 1))
+    from tributary.llm import simhash
+    for block, compared in ((2048, 1 << 21), (4, 100)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(similar_texts, "COMPARED", compared)
+        assert {i: c for i, _, c in rows(similar_texts.similar_texts(docs))} == want
+
+
+def test_fingerprints_of_links_are_within_the_radius():
+    """Sets of 51 to 400 shingles at 0.8, in all splits of the differing shingles: none is beyond RADIUS, none lacks a common key."""
+    chance = np.random.default_rng(5)
+    for size in range(51, 401, 7):
+        common = math.ceil(0.8 * size)
+        for own in range(0, size - common + 1, max(1, (size - common) // 3)):
+            hashes = chance.integers(0, 2**63, size).astype(np.uint64)
+            a, b = np.sort(hashes[:common + own]), np.sort(np.r_[hashes[:common], hashes[common + own:]])
+            if min(len(a), len(b)) <= similar_texts.FEW:
+                continue
+            (left, left_keys), (right, right_keys) = similar_texts.sketch(a), similar_texts.sketch(b)
+            assert (int.from_bytes(left) ^ int.from_bytes(right)).bit_count() <= similar_texts.RADIUS
+            assert set(left_keys) & set(right_keys)

@@ -2,14 +2,17 @@
 
 Two texts are near copies if their sets of 5-word shingles (A-Z lower-cased) have a Jaccard similarity of 0.8 or
 more.  Texts with equal sets are one class from the start; links between classes are exact, as every one is verified on
-the two sets.
-
-* A fingerprint has ``BITS`` bits over the distinct shingles.  Two sets of similarity s differ in a share
-  acos(2s / (1 + s)) / pi of the bits on average; ``RADIUS`` is the mean at 0.8 and two standard deviations.
-* Classes meet by keys of shingles: each of ``KEYS`` keys joins ``LEAST`` minima of the shingle hashes, which keeps a pair
-  of similarity 0.8 together with probability 0.995, and unrelated texts apart at any number of rows.
-* Of classes that meet, those whose distances to a reference fingerprint (some of the block serve as pivots) or to each other
-  exceed ``RADIUS`` are discarded.  What is left makes components of candidates, inside which all sets are compared.
+the two sets.  How classes meet depends on their size:
+
+* up to ``FEW_REACH`` shingles, by a prefix filter: of sets that reach 0.8, each has a common shingle among its
+  ``n - ceil(0.8 n) + 1`` rarest ones, so no pair is lost.  Shingles that only one class has meet nothing and are not sent.
+  Sets travel with the classes and are compared where they meet;
+* above ``FEW`` shingles (a pair from 0.8 is wholly in the one range or in the other), by ``KEYS`` keys that join ``LEAST``
+  minima of the shingle hashes each, which keep a pair of similarity 0.8 together with probability 0.9998, and unrelated
+  texts apart at any number of rows.  Of texts that meet, those whose distances to a reference fingerprint (some of the block
+  serve as pivots) or to each other exceed ``RADIUS`` are discarded.  A fingerprint has ``BITS`` bits over the distinct
+  shingles; two sets of similarity s differ in a share acos(2s / (1 + s)) / pi of the bits on average, and ``RADIUS`` is the
+  mean at 0.8 and six standard deviations.  What is left makes components of candidates, inside which all sets are compared.
 
 Blocks, stars and components are those of :mod:`simhash`.
 
@@ -38,9 +41,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 2048
 _SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-RADIUS = round(BITS * _SHARE + 2 * math.sqrt(BITS * _SHARE * (1 - _SHARE)))
-KEYS = 10
+RADIUS = round(BITS * _SHARE + 6 * math.sqrt(BITS * _SHARE * (1 - _SHARE)))
+KEYS = 16
 LEAST = 4
+#: Sets of more shingles have fingerprints and keys; sets of up to ``FEW_REACH``, all that 0.8 reaches from ``FEW``, are joined by prefixes.
+FEW = 50
+FEW_REACH = math.floor(FEW / SIMILARITY + 1e-9)
 PIVOTS = 16
 #: Shingles that are hashed and counted at a time.
 COUNTED = 255 * 16
@@ -85,9 +91,9 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
         least = np.minimum(least, ((some ^ _ORDERS[0]) * _ORDERS[1]).min(axis=1))
         for part in range(0, len(some), 255):  # as many ones fit a byte
             ones += _bits(some[part:part + 255]).sum(axis=0, dtype=np.uint8)
-    # the first shingle decides where as many shingles have a bit as lack it
+    # a tie leaves the bit unset in either text: broken by a shingle, one edit could turn all ties at once
     keys = [xxhash.xxh64_intdigest(least[n * LEAST:(n + 1) * LEAST].tobytes(), n) for n in range(KEYS)]
-    return np.packbits(ones * 2 + _bits(hashes[:1])[0] > len(hashes)).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.packbits(ones * 2 > len(hashes)).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def _node(hashes: np.ndarray) -> bytes:
@@ -169,15 +175,15 @@ def _compare_sets(parts: np.ndarray, nodes: np.ndarray, packed: np.ndarray) -> t
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node and size (distinct shingles) of every row; print and keys (packed 64-bit words) of those with words."""
+    """doc_id, node and size (distinct shingles) of every row; few (packed set), and print and keys (packed 64-bit words), where its size asks for them."""
 
     def start():
         def step(batch: Columns) -> Columns:
             sets = [shingle_hashes(text) for text in batch["text"]]
-            found = [sketch(x) if len(x) else (None, None) for x in sets]
+            found = [sketch(x) if len(x) > FEW else (None, None) for x in sets]
             return {
                 "doc_id": batch["doc_id"], "node": [_node(x) for x in sets], "size": [len(x) for x in sets],
-                "print": [p for p, _ in found],
+                "few": [x.tobytes() if 0 < len(x) <= FEW_REACH else None for x in sets], "print": [p for p, _ in found],
                 "keys": [None if keys is None else np.array(keys, np.int64).astype(">i8").tobytes() for _, keys in found],
             }
 
@@ -185,7 +191,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     return map_columns(
         docs.select("doc_id", "text"),
-        {"doc_id": "long", "node": "binary", "size": "int", "print": "binary", "keys": "binary"}, start)
+        {"doc_id": "long", "node": "binary", "size": "int", "few": "binary", "print": "binary", "keys": "binary"}, start)
 
 
 def _in_blocks(blocks: DataFrame, name: str, compare) -> DataFrame:
@@ -200,8 +206,31 @@ def _in_blocks(blocks: DataFrame, name: str, compare) -> DataFrame:
     )
 
 
+def few_links(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of small sets whose components are those of all links; ``classes``: node, size, few."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column("few").to_pylist()
+            sizes = np.array([len(x) // 8 for x in packed], np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("node").take(pa.array(np.repeat(np.arange(len(packed)), sizes))), pa.array(np.repeat(sizes, sizes), pa.int64()),
+                pa.array(np.frombuffer(b"".join(packed), np.int64))], names=["node", "size", "key"])
+
+    # sets of three shingles or fewer reach 0.8 with equal sets only
+    few = classes.filter("few is not null and size > 3").select("node", "size", "few")
+    shingles = few.select("node", "few").mapInArrow(each, "node binary, size long, key long")
+    shared = shingles.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    own = shingles.join(shared, "key").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("held"))
+    prefix = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-6) + 1
+    # the rarest come first: those that no other class has take their places of the prefix, the others what is left
+    left = (prefix - (F.col("size") - F.size("held"))).cast("int")
+    keyed = own.withColumn("left", left).filter("left > 0").select("node", F.explode(F.slice("held", F.lit(1), F.col("left"))).alias("x")).select("x.key", "node")
+    return _in_blocks(blocks_of(cut_lineage(keyed), "node").join(few.select("node", "few"), "node"), "few", _compare_sets)
+
+
 def candidate_links(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose components hold those of all links that meet; ``classes``: node, print, keys."""
+    """Pairs (a, b) of nodes whose components hold those of all links of large sets that meet; ``classes``: node, print, keys."""
     number = F.sequence(F.lit(0), F.lit(KEYS - 1))
     keyed = classes.filter("keys is not null").select("node", F.explode(F.transform(number, lambda n: F.conv(
         F.hex(F.substring("keys", n * 8 + 1, F.lit(8))), 16, -10).cast("long"))).alias("key"))
@@ -231,8 +260,9 @@ def verified_links(docs: DataFrame, classes: DataFrame, found: DataFrame) -> Dat
 def similar_texts(docs: DataFrame) -> DataFrame:
     """doc_id, ``node`` and ``component_id`` (the least id that links reach) of every row."""
     rows = cut_lineage(sketches(docs))
-    classes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "print", "keys"))))
-    found = components(verified_links(docs, classes, components(candidate_links(classes))))
+    classes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "few", "print", "keys"))))
+    near = verified_links(docs, classes, components(candidate_links(classes)))
+    found = components(few_links(classes).unionByName(near))
     roots = classes.select(F.col("node").alias("own"), "least").join(found, F.col("own") == F.col("node"), "left").select(
         "own", "least", F.coalesce("root", "own").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
