@@ -85,6 +85,23 @@ def test_made_up_texts(spark):
     assert d.keep_clean(odd_documents(spark), spark.createDataFrame([], "item_id long, text string")).count() == len(ODD_ROWS)
 
 
+def test_clean_rows_are_the_same_on_both_paths(spark):
+    leaked = "x y z The quick brown fox jumps over the lazy dog near the old river bank. and more"
+    docs = spark.createDataFrame([
+        (None, leaked, "a"), (1, leaked, "b"), (1, "a clean text that repeats the id", "c"), (2, leaked, None), (2, leaked, "d"), (3, "another clean text", "e"),
+        (3, "another clean text", "e"), (None, "a clean text without id", "f"), (None, None, "g"), (4, None, "h"), (5, "", "i"), (6, "short item text here", "j"),
+    ], "doc_id long, text string, own string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = [r for r in rows(docs) if r[2] in ("c", "e", "f", "g", "h", "i")]
+    for held in (d.HELD_WORDS, 0):
+        kept = d.keep_clean(docs, items, held_words=held)
+        assert kept.columns == docs.columns
+        assert sorted(rows(kept), key=str) == sorted(want, key=str)
+        odd = odd_documents(spark, extra=True)
+        assert sorted(rows(d.keep_clean(odd, items, held_words=held)), key=str) == sorted(rows(odd), key=str)
+        assert d.keep_clean(no_documents(spark), items, held_words=held).count() == 0
+
+
 @pytest.mark.skipif(not have_tables, reason="no test tables")
 def test_test_tables(spark):
     assert check(spark, small(spark, "documents"), rows(small(spark, "benchmark").select("item_id", "text")))

@@ -156,7 +156,10 @@ def _held(phrases: DataFrame, held_words: int) -> list[tuple] | None:
 
 
 def _joined(docs: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
-    """Matches for benchmarks of any size: seeds of both sides meet by a join, tiles follow for each pair of texts."""
+    """Matches for benchmarks of any size, with ``own``, the MD5 digest of the document's text.
+
+    Seeds of both sides meet by a join, tiles follow for each pair of texts.
+    """
     fields = {"own": "string", "seed": "int", "code": "long", "place": "int"}
 
     def seeds_of(lengths: list[int]):
@@ -194,7 +197,7 @@ def _joined(docs: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
     found = pairs.groupBy("own", "item").applyInPandas(tiles, "own string, item string, covered_words int, tiles int, longest_tile int")
     return (
         rows.select("doc_id", "own").join(found, "own")
-        .join(items.select(F.col("own").alias("item"), "item_id", "item_words"), "item").select(*FIELDS)
+        .join(items.select(F.col("own").alias("item"), "item_id", "item_words"), "item").select("own", *FIELDS)
     )
 
 
@@ -203,7 +206,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, held_words
     phrases = _phrases(items)
     held = _held(phrases, held_words)
     if held is None:
-        found = _joined(docs, phrases, least)
+        found = _joined(docs, phrases, least).drop("own")
     else:
         def start():
             benchmark = Benchmark(held, least)
@@ -220,10 +223,12 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, held_words
 
 def keep_clean(docs: DataFrame, items: DataFrame, least_coverage: float = LEAST_COVERAGE, held_words: int = HELD_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no item is covered by ``least_coverage`` or more, with all their columns."""
-    held = _held(_phrases(items), held_words)
+    phrases = _phrases(items)
+    held = _held(phrases, held_words)
     if held is None:
-        bad = leaks(docs, items, held_words=held_words).filter(F.col("coverage") >= least_coverage).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+        # by text, as the held path judges: an id may be null, or stand for other texts too
+        bad = _joined(docs, phrases, LEAST_TILE).filter(F.col("covered_words") >= least_coverage * F.col("item_words")).select(F.col("own").alias("__own")).distinct()
+        return docs.join(bad, F.md5("text") == F.col("__own"), "left_anti").select(docs.columns)
 
     def start():
         benchmark = Benchmark(held)
