@@ -71,6 +71,33 @@ def test_scores_follow_the_exact_counts(spark, monkeypatch):
         assert math.isclose(score, want, rel_tol=0.02)
 
 
+def test_rare_pairs_of_a_corpus_beyond_the_resolution_count(spark, monkeypatch):
+    """More training tokens than RESOLUTION, and a filter of several shards: pairs that occur once are still evidence."""
+    chance = random.Random(9)
+    texts = [(i, " ".join(f"w{chance.randrange(3000)}" for _ in range(100))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(lm, "RESOLUTION", 1 << 10)
+    monkeypatch.setattr(bloom, "BLOCK_BITS", 1 << 19)
+    monkeypatch.setattr(bloom, "SHARD_BYTES", 1 << 16)
+    model, counts = lm.train(docs)
+    assert model.total > 16 * lm.RESOLUTION
+    single, pair = Counter(), Counter()
+    for _, text in texts:
+        found = tokens(text)
+        single.update(found)
+        pair.update(zip([b"", *found[:-1]], found))
+    singles = np.array([lm.xxhash.xxh64_intdigest(w) for w in single], np.uint64)
+    before, after = (np.array([lm.xxhash.xxh64_intdigest(p[n]) for p in pair], np.uint64) for n in (0, 1))
+    assert (model.levels.levels(singles) > 0).all() and (model.levels.levels(lm.pair_codes(before, after)) > 0).all()
+    kept = model.levels.levels(singles)
+    whole = {r.doc_id: r.score for r in lm.score(docs, model, counts).collect()}
+    monkeypatch.setattr(bloom, "BITS_PER_KEY", 120)  # ten blocks or so, a shard each
+    model, counts = lm.train(docs)
+    assert len(model.levels.shards) > 3 and np.mean(model.levels.levels(singles) == kept) > 0.97
+    sharded = {r.doc_id: r.score for r in lm.score(docs, model, counts).collect()}
+    assert all(math.isclose(whole[i], sharded[i], rel_tol=0.02) for i in whole)
+
+
 def test_filter_levels(spark):
     chance = np.random.default_rng(4)
     codes = chance.integers(0, 2**63, 60_000).astype(np.int64)

@@ -3,7 +3,9 @@
 A code of level q is inserted under q keys (code, 1) to (code, q).  A reader probes levels 1, 2, ... until one is
 missing; the last hit is the level.  Errors are one-sided: a level is never too low.
 
-All bits of a key lie in one block, so blocks are filled independently and only finished blocks travel.
+All bits of a code lie in one block, so blocks are filled independently and only finished blocks travel.  The filter grows
+with its keys.  It is broadcast in shards of up to ``SHARD_BYTES``: one shard is held by a task, of several a task
+holds one at a time, so neither a task nor the driver needs memory for the whole of a large filter.
 """
 
 from __future__ import annotations
@@ -12,11 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from tributary.session import cut_lineage
+
 BLOCK_BITS = 1 << 19
 BITS_PER_KEY = 12
 PROBES = 4
+#: Bytes of one broadcast shard, in whole blocks.
+SHARD_BYTES = 1 << 25
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -31,50 +38,73 @@ def _keys(codes: np.ndarray, level: int) -> np.ndarray:
     return mixed(codes + np.uint64(level * 0x9E3779B97F4A7C15 & 2**64 - 1))
 
 
-def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)
+def _block(codes: np.ndarray, blocks: int) -> np.ndarray:
+    return ((mixed(codes) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
 def _spot(keys: np.ndarray, probe: int) -> np.ndarray:
     return (keys * _ODD[probe]) >> np.uint64(45)
 
 
+def _shard_blocks() -> int:
+    return max(1, SHARD_BYTES * 8 // BLOCK_BITS)
+
+
 class LevelFilter:
-    """The finished filter; ``bits`` has one row of bytes for each block."""
+    """The finished filter; each shard has one row of bytes for each of its ``shard_blocks`` blocks."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, blocks: int, shard_blocks: int, shards: list[Broadcast]):
+        self.blocks, self.shard_blocks, self.shards = blocks, shard_blocks, shards
 
     def levels(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes), np.int64)
-        if not len(self.bits):
+        if not self.blocks or not len(codes):
             return out
-        alive, level = np.arange(len(codes)), 0
-        while len(alive):
-            level += 1
-            keys = _keys(codes[alive], level)
-            for probe in range(PROBES):
-                spots = _spot(keys, probe)
-                hit = self.bits[_block(keys, len(self.bits)), spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & 1 == 1
-                alive, keys = alive[hit], keys[hit]
-            out[alive] = level
+        block = _block(codes, self.blocks).astype(np.int64)
+        if len(self.shards) == 1:
+            return _probe(self.shards[0].value, codes, block)
+        owner = block // self.shard_blocks
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], np.arange(len(self.shards) + 1))
+        for number, shard in enumerate(self.shards):
+            own = order[ends[number]:ends[number + 1]]
+            if len(own):
+                out[own] = _probe(shard.value, codes[own], block[own] - number * self.shard_blocks)
+                vars(shard).pop("_value", None)  # else each shard that was read would stay in the task
         return out
 
 
+def _probe(bits: np.ndarray, codes: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Levels of codes whose blocks are these rows of ``bits``."""
+    out = np.zeros(len(codes), np.int64)
+    alive, level = np.arange(len(codes)), 0
+    while len(alive):
+        level += 1
+        keys = _keys(codes[alive], level)
+        for probe in range(PROBES):
+            spots = _spot(keys, probe)
+            hit = bits[block[alive], spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & 1 == 1
+            alive, keys = alive[hit], keys[hit]
+        out[alive] = level
+    return out
+
+
 def build(levels: DataFrame, keys: int) -> LevelFilter:
     """The filter of rows (code long, level int); ``keys``: the sum of their levels, which sets the size."""
     blocks = -(-max(1, keys) * BITS_PER_KEY // BLOCK_BITS) if keys else 0
+    most = _shard_blocks()
     if not blocks:
-        return LevelFilter(np.zeros((0, BLOCK_BITS // 8), np.uint8))
+        return LevelFilter(0, most, [])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("code").to_numpy().view(np.uint64)
             top = batch.column("level").to_numpy()
             for level in range(1, int(top.max(initial=0)) + 1):
-                found = _keys(codes[top >= level], level)
+                some = codes[top >= level]
+                found = _keys(some, level)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_block(found, blocks).astype(np.int32)), pa.array(found.view(np.int64))], names=["block", "key"])
+                    [pa.array(_block(some, blocks).astype(np.int32)), pa.array(found.view(np.int64))], names=["block", "key"])
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
         found = group.column("key").to_numpy().view(np.uint64)
@@ -85,7 +115,24 @@ def build(levels: DataFrame, keys: int) -> LevelFilter:
                         schema=pa.schema([("block", pa.int32()), ("bits", pa.binary())]))
 
     rows = levels.select("code", "level").mapInArrow(spread, "block int, key long")
-    out = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-    for row in rows.groupBy("block").applyInArrow(fill, "block int, bits binary").collect():
-        out[row.block] = np.frombuffer(row.bits, np.uint8)
-    return LevelFilter(out)
+    filled = rows.groupBy("block").applyInArrow(fill, "block int, bits binary")
+    # the driver holds one shard at a time: blocks arrive in order, a partition at a time
+    arriving = filled.collect() if blocks <= most else cut_lineage(filled.orderBy("block")).toLocalIterator()
+    shards: list[Broadcast] = []
+
+    def finished(number: int, found: dict[int, bytes]) -> None:
+        out = np.zeros((min(most, blocks - number * most), BLOCK_BITS // 8), np.uint8)
+        for block, bits in found.items():
+            out[block - number * most] = np.frombuffer(bits, np.uint8)
+        shards.append(levels.sparkSession.sparkContext.broadcast(out))
+
+    found: dict[int, bytes] = {}
+    for row in arriving:
+        while row.block >= (len(shards) + 1) * most:
+            finished(len(shards), found)
+            found = {}
+        found[row.block] = row.bits
+    while len(shards) * most < blocks:
+        finished(len(shards), found)
+        found = {}
+    return LevelFilter(blocks, most, shards)

@@ -1,13 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased and one end token for each text.  Counts of all
-tokens and all token pairs of the training texts are summed by shuffles.  They are quantised by relative
-frequency: level q means a share of at least 2^(q-1) / RESOLUTION of the training tokens; a rarer one is of level
-0 and is not stored.  At most RESOLUTION / 2^(q-1) n-grams of an order can reach level q, so the filter holds at most
-4 * RESOLUTION keys (two orders) whatever the input, which is the proof that it may be broadcast.
+tokens and all token pairs of the training texts are summed by shuffles and quantised to powers of two: level 1 starts at a
+count of one, so every counted word and pair is stored.  (``RESOLUTION`` only sets where, between two powers of two, the levels
+part: at shares of 2^q / RESOLUTION of the training tokens.)  The filter grows with what was counted; it is
+broadcast in shards of bounded size (see :mod:`bloom`).
 
 A task probes the filter for every token and pair.  The count behind a level is the mean count of that level, taken over the whole
-corpus; level 0 shares the count of all rarer words.  A token's probability mixes pair and single:
+corpus; a word that was never counted passes for one that occurs once.  A token's probability mixes pair and single:
 ``PAIR_WEIGHT * count(v w) / count(v) + (1 - PAIR_WEIGHT) * count(w) / (N + 1)``.
 
 Beside it stands the plain smoothed unigram score (``base_score``) from exact counts: frequent words (a share of at least
@@ -101,10 +101,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def count_pairs(docs: DataFrame, total: int) -> DataFrame:
-    """``code`` and count ``n`` of the pairs of tokens with a share of at least 1 / RESOLUTION of ``total`` tokens.
+    """``code`` and count ``n`` of all pairs of tokens; ``total`` tokens set the number of shares.
 
-    Every pair is counted.  Codes travel as arrays, cut by their high bits into about one share for each
-    ``SHARE`` tokens of the corpus, and each share is summed on its own; only frequent pairs leave it.
+    Codes travel as arrays, cut by their high bits into about one share for each ``SHARE`` tokens of the corpus, and
+    each share is summed on its own.
     """
     shares = max(256, -(-total // SHARE))
 
@@ -139,8 +139,7 @@ def count_pairs(docs: DataFrame, total: int) -> DataFrame:
         codes = codes[order]
         starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
         n = np.add.reduceat(counts[order].astype(np.int64), starts)
-        kept = n >= total / RESOLUTION
-        return pa.table({"code": codes[starts][kept].view(np.int64), "n": n[kept]})
+        return pa.table({"code": codes[starts].view(np.int64), "n": n})
 
     rows = docs.select("text").mapInArrow(run, "share long, codes binary, counts binary")
     return rows.groupBy("share").applyInArrow(summed, "code long, n long")
@@ -149,9 +148,12 @@ def count_pairs(docs: DataFrame, total: int) -> DataFrame:
 class Model:
     """What a task needs: the filter, mean counts by order and level, and the frequent words' exact counts."""
 
-    def __init__(self, levels: bloom.LevelFilter, singles: np.ndarray, pairs: np.ndarray, total: int, types: int, held: dict[bytes, int]):
+    def __init__(self, levels: bloom.LevelFilter | None, singles: np.ndarray, pairs: np.ndarray, total: int, types: int, held: dict[bytes, int]):
         self.levels, self.singles, self.pairs, self.total, self.types, self.held = levels, singles, pairs, total, types, held
 
+    def with_levels(self, levels: bloom.LevelFilter | None) -> Model:
+        return Model(levels, self.singles, self.pairs, self.total, self.types, self.held)
+
     def scores(self, texts: list[np.ndarray], end: int) -> list[float]:
         """log10 probability of each text, given as codes; ``end`` is the code of the end token."""
         after, sizes = np.concatenate(texts), np.array(list(map(len, texts)))
@@ -166,7 +168,8 @@ class Model:
 
 def _with_level(counts: DataFrame, total: int) -> DataFrame:
     share = F.col("n") * F.lit(float(RESOLUTION)) / F.lit(float(max(1, total)))
-    return counts.withColumn("level", F.when(share >= 1, F.floor(F.log2(share)) + 1).otherwise(0).cast("int"))
+    once = math.floor(math.log2(RESOLUTION / max(1, total)))
+    return counts.withColumn("level", F.greatest(F.lit(1), F.floor(F.log2(share)) + F.lit(1 - once)).cast("int"))
 
 
 def _means(counted: DataFrame) -> tuple[dict[int, tuple[int, int]], int]:
@@ -195,13 +198,12 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     levelled = _with_level(words, total)
     single_means, single_keys = _means(levelled)
-    singles = levelled.filter("level > 0").mapInArrow(coded, "code long, n long, level int")
-    pairs = cut_lineage(_with_level(count_pairs(docs, total), total).filter("level > 0"))
+    singles = levelled.mapInArrow(coded, "code long, n long, level int")
+    pairs = cut_lineage(_with_level(count_pairs(docs, total), total))
     pair_means, pair_keys = _means(pairs)
     levels = bloom.build(singles.unionByName(pairs), single_keys + pair_keys)
-    rare_n, rare_types = single_means.pop(0, (0, 0))
     held = words.filter((F.col("n") * HELD_WORDS >= total) & (F.length("word") <= HELD_BYTES)).toPandas()
-    model = Model(levels, _table(single_means, (rare_n + 1) / (rare_types + 1)), _table(pair_means, 0.0), total, types,
+    model = Model(levels, _table(single_means, 1.0), _table(pair_means, 0.0), total, types,
                   dict(zip(map(bytes, held["word"]), held["n"].tolist())))
     return model, words
 
@@ -209,10 +211,11 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 def score(docs: DataFrame, model: Model, counts: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    levels = model.levels  # its shards are broadcast on their own
+    shared = spark.sparkContext.broadcast(model.with_levels(None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value, WordCodes()
+        model, words = shared.value.with_levels(levels), WordCodes()
         logs = {word: math.log10(n + 0.5) for word, n in model.held.items()}
         for batch in slices(batches):
             known, sums, sizes, scores, rest, times, ends = [], [], [], [], [], [], [0]
