@@ -21,6 +21,14 @@ def test_equivalent_texts(spark):
                    (8, "line", 1, "ISC"), (8, "paragraph", 0, "ISC"), (8, "text", 0, "ISC")]
 
 
+def test_whole_texts_of_the_usual_licences(spark):
+    whole = {name: text for name, text in s.KNOWN if len(text) > 1000}
+    assert set(whole) >= {"MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"}
+    names = sorted(whole)
+    out = found(spark, ["Copyright (c) 2021 Somebody\n\n" + " \n".join(whole[name].split("\n")).replace(" License ", " Licence ") for name in names])
+    assert [row for row in out if row[1] == "text"] == [(i, "text", 0, name) for i, name in enumerate(names)]
+
+
 def test_paragraphs_and_odd_rows(spark):
     known = s.known_digests(spark, [("own", "first line here\nsecond line there"), ("own", "FIRST line; here second line there"), ("a", "x " * 3)])
     assert known.count() == 2

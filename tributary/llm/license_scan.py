@@ -12,6 +12,7 @@ Repeated rows and repeated units are reported each.  Extra columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,8 @@ KNOWN = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("ISC", "SPDX-License-Identifier: ISC"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("Unlicense", "SPDX-License-Identifier: Unlicense"),
 ]
+#: Whole texts, a file named by the licence each.
+KNOWN += sorted((file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")) for file in resources.files(__package__).joinpath("licenses").iterdir())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
