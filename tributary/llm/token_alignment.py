@@ -36,14 +36,18 @@ from tributary.llm.registry import query, table
 from tributary.session import scratch_path
 
 HELD_PAIRS = 1_000_000
-#: Chunks that a task remembers, characters from which a chunk is aligned by itself, and chunks of texts in a block.
-CACHED_CHUNKS = 400_000
+#: Chunks, and links of them, that a task remembers; characters from which a chunk is aligned by itself; chunks encoded as one text.
+CACHED_CHUNKS = 600_000
+CACHED_LINKS = 8_000_000
 LONG = 1000
+RUN = 200
+#: Chunks of texts in a block.
 BLOCK_CHUNKS = 1_000_000
 #: Entries of a product that are expanded at a time.
 PRODUCT_ENTRIES = 2_000_000
 #: Spaces between one of these signs and a further sign are where chunks part: no sign of the class is white space to a tokenizer.
 _CUT = re.compile(r"(?<=[\w!-~])(?= +[^ ])")
+_WHOLE_END = re.compile(r"[\w!-~]")
 _ODD_SPACE = re.compile(r"[^\w!-~] ")
 
 
@@ -113,9 +117,15 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b)
         signs = byte_alphabet()
-        self.bytes_a = {i: bytes(signs[s] for s in piece) for piece, i in self.a.get_vocab(with_added_tokens=False).items()}
+        entries = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            self.bytes_a[i] = bytes(signs[s] for s in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array(list(map(len, entries)), np.int64) for entries in (self.bytes_a, self.bytes_b))
+        self.text_a = np.array([f"{i}{end}" for end in ",|" for i in range(len(self.bytes_a))], object)
+        self.text_b = np.array([f"{i}{end}" for end in ",;" for i in range(len(self.bytes_b))], object)
         # only where no piece holds a space after another sign may a text be cut before its spaces
         self.separable = not any("▁" in piece.lstrip("▁") for piece in pieces)
         self.clear()
@@ -123,8 +133,12 @@ class Aligner:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.counts = np.zeros((0, 3), np.int64)  # tokens of A and B and groups of each chunk; -1: bytes differ
-        self.groups: list[str] = []
-        self.codes: list[np.ndarray] = []  # end links of a chunk, id of A << 32 | id of B
+        self.groups: list[str] = []  # ``a1,a2|b1;`` of each chunk
+        self.links = np.zeros(0, np.int64)  # end links of each chunk, and all of them as id of A << 32 | id of B
+        self.codes: list[np.ndarray] = []
+
+    def full(self) -> bool:
+        return len(self.index) > CACHED_CHUNKS or sum(map(len, self.codes)) > CACHED_LINKS
 
     def chunks(self, text: str) -> list[str]:
         """The space and the text, cut where no token crosses."""
@@ -135,49 +149,75 @@ class Aligner:
             return _CUT.split(whole)
         return [" " + part for part in text.split(" ")]
 
+    def encoded(self, runs: list[list[str]]) -> Iterator[tuple[list[str], list[int], list[int], bool]]:
+        """Each run of chunks as one text: its ids, and whether the bytes are the text's; runs that differ are taken apart."""
+        texts = list(map("".join, runs))
+        ids_b = self.b.encode([text[1:] for text in texts], num_threads=1)
+        apart = []
+        for run, text, a, b in zip(runs, texts, self.a.encode_batch(texts, add_special_tokens=False), ids_b):
+            a = a.ids
+            good = b"".join(map(self.bytes_a.__getitem__, a)) == text.encode() == b"".join(map(self.bytes_b.__getitem__, b))
+            if good or len(run) == 1:
+                yield run, a, b, good
+            else:
+                apart += [[chunk] for chunk in run]
+        if apart:
+            yield from self.encoded(apart)
+
     def learn(self, chunks: list[str]) -> None:
         """Align chunks that have no index yet."""
-        if not chunks:
-            return
-        ids_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        ids_b = self.b.encode([chunk[1:] for chunk in chunks], num_threads=1)
-        wholes = list(map(str.encode, chunks))
-        good = [b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b)) for whole, a, b in zip(wholes, ids_a, ids_b)]
-        for chunk in chunks:
-            self.index[chunk] = len(self.index)
-        kept = [i for i, ok in enumerate(good) if ok]
-        aligned = Alignment([ids_a[i] for i in kept], [ids_b[i] for i in kept], self.bytes_a, self.bytes_b)
-        links, cuts = aligned.end_links()
-        codes = (aligned.flat_a[links[:, 0]] << 32) | aligned.flat_b[links[:, 1]]
-        at = np.searchsorted(links[:, 0], aligned.starts_a)
-        groups = aligned.groups(cuts)
-        counts, number = np.full((len(chunks), 3), -1, np.int64), 0
-        for i, ok in enumerate(good):
+        # chunks whose end and beginning keep tokens apart are encoded together
+        open_ended = [chunk for chunk in chunks if not self.separable or len(chunk) > LONG or not _WHOLE_END.match(chunk[-1])]
+        rest = list(set(chunks).difference(open_ended))
+        runs = [rest[at:at + RUN] for at in range(0, len(rest), RUN)] + [[chunk] for chunk in open_ended]
+        good: list[tuple] = []
+        bad: list[str] = []
+        for run, a, b, ok in self.encoded(runs):
             if ok:
-                counts[i] = len(ids_a[i]), len(ids_b[i]), len(groups[number])
-                self.codes.append(codes[at[number]:at[number + 1]])
-                self.groups.append(";".join(groups[number]))
-                number += 1
+                good.append((run, a, b))
             else:
-                self.codes.append(np.zeros(0, np.int64))
-                self.groups.append("")
-        self.counts = np.concatenate([self.counts, counts])
+                bad += run
+        kept = [chunk for run, _, _ in good for chunk in run]
+        for chunk in (*kept, *bad):
+            self.index[chunk] = len(self.index)
+        if kept:
+            aligned = Alignment(self, [i for _, a, _ in good for i in a], [i for _, _, b in good for i in b])
+            aligned.cut(np.cumsum([len(chunk.encode()) for chunk in kept]))
+            links, cuts = aligned.end_links()
+            self.codes.append((aligned.a[links[:, 0]] << 32) | aligned.b[links[:, 1]])
+            self.links = np.r_[self.links, np.diff(np.searchsorted(links[:, 0], aligned.starts_a))]
+            n_groups = np.diff(np.searchsorted(cuts, aligned.chunk_ends, "right"), prepend=0)
+            self.counts = np.concatenate([self.counts, np.column_stack([np.diff(aligned.starts_a), np.diff(aligned.starts_b), n_groups])])
+            self.groups += aligned.groups(cuts)
+        self.links = np.r_[self.links, np.zeros(len(bad), np.int64)]
+        self.counts = np.concatenate([self.counts, np.full((len(bad), 3), -1, np.int64)])
+        self.groups += [""] * len(bad)
+
+    def links_of(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many end links each of these chunks has, and their id pairs."""
+        self.codes = [np.concatenate([np.zeros(0, np.int64), *self.codes])]
+        sizes, starts = self.links[chunks], (np.cumsum(self.links) - self.links)[chunks]
+        return sizes, self.codes[0][np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
 
 
 class Alignment:
-    """Token occurrences of several chunks over their joined bytes."""
-
-    def __init__(self, ids_a: list[list[int]], ids_b: list[list[int]], bytes_a, bytes_b):
-        self.ids_a, self.ids_b = ids_a, ids_b
-        self.flat_a = np.array([i for ids in ids_a for i in ids], np.int64)
-        self.flat_b = np.array([i for ids in ids_b for i in ids], np.int64)
-        self.starts_a = np.r_[0, np.cumsum([len(ids) for ids in ids_a])].astype(np.int64)
-        self.starts_b = np.r_[0, np.cumsum([len(ids) for ids in ids_b])].astype(np.int64)
-        size_a = np.array([len(bytes_a[i]) for i in self.flat_a.tolist()], np.int64)
-        size_b = np.array([len(bytes_b[i]) for i in self.flat_b.tolist()], np.int64)
+    """Token occurrences of A and B over the same bytes."""
+
+    def __init__(self, aligner: Aligner, ids_a: list[int], ids_b: list[int]):
+        self.aligner = aligner
+        self.a, self.b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        size_a, size_b = aligner.size_a[self.a], aligner.size_b[self.b]
         self.ends_a, self.ends_b = np.cumsum(size_a), np.cumsum(size_b)
         self.width = int(size_a.sum())
         self.matrix_a, self.matrix_b = Csr.of_ranges(size_a, self.width), Csr.of_ranges(size_b, self.width)
+        self.cut(np.array([self.width]))
+
+    def cut(self, chunk_ends: np.ndarray) -> None:
+        """Tell where chunks end; a token that crosses such an end is an error."""
+        self.chunk_ends = chunk_ends
+        self.starts_a, self.starts_b = (np.r_[0, np.searchsorted(ends, chunk_ends, "right")] for ends in (self.ends_a, self.ends_b))
+        if any((ends[starts[1:] - 1] != chunk_ends).any() for ends, starts in ((self.ends_a, self.starts_a), (self.ends_b, self.starts_b))):
+            raise ValueError("a token crosses the end of a chunk")
 
     def overlap_links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Occurrences of A and of B that share bytes, and how many."""
@@ -198,20 +238,14 @@ class Alignment:
         group_a, group_b = (Csr.of_places(np.searchsorted(cuts, ends), len(cuts)) for ends in (self.ends_a, self.ends_b))
         return products(group_a, group_b.transposed())
 
-    def groups(self, cuts: np.ndarray) -> list[list[str]]:
-        """Ids of each group, ``a1,a2|b1``, by chunk."""
-        to_a = np.searchsorted(self.ends_a, cuts, "right").tolist()
-        to_b = np.searchsorted(self.ends_b, cuts, "right").tolist()
-        text_a, text_b = list(map(str, self.flat_a.tolist())), list(map(str, self.flat_b.tolist()))
-        out, group, a, b = [], 0, 0, 0
-        for end in self.starts_a[1:].tolist():
-            own = []
-            while a < end:
-                own.append(f"{','.join(text_a[a:to_a[group]])}|{','.join(text_b[b:to_b[group]])}")
-                a, b = to_a[group], to_b[group]
-                group += 1
-            out.append(own)
-        return out
+    def groups(self, cuts: np.ndarray) -> list[str]:
+        """The groups' ids, ``a1,a2|b1;``, by chunk: ids of A, then of B, group by group, each with the sign after it."""
+        group_a, group_b = np.searchsorted(cuts, self.ends_a), np.searchsorted(cuts, self.ends_b)
+        last_a, last_b = cuts[group_a] == self.ends_a, cuts[group_b] == self.ends_b
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        texts = np.concatenate([self.aligner.text_a[self.a + last_a * len(self.aligner.bytes_a)], self.aligner.text_b[self.b + last_b * len(self.aligner.bytes_b)]])[order].tolist()
+        ends = (self.starts_a + self.starts_b).tolist()
+        return ["".join(texts[start:end]) for start, end in zip(ends, ends[1:])]
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -239,12 +273,11 @@ def aligned_blocks(docs: DataFrame, file_a: str, file_b: str, block_chunks: int
             nonlocal out, size
             sizes = np.array(list(map(len, out[5])), np.int32)
             used, places = np.unique(np.concatenate([np.zeros(0, np.int64), *out[5]]), return_inverse=True)
-            links = [aligner.codes[i] for i in used.tolist()]
-            row = [*([part] for part in out[:5]), [_packed(sizes)], [_packed(places.astype(np.uint32))],
-                   [_packed(np.array(list(map(len, links)), np.int32))], [_packed(np.concatenate([np.zeros(0, np.int64), *links]))]]
+            links, codes = aligner.links_of(used)
+            row = [*([part] for part in out[:5]), [_packed(sizes)], [_packed(places.astype(np.uint32))], [_packed(links.astype(np.int32))], [_packed(codes)]]
             kinds = [pa.list_(pa.int64())] * 4 + [pa.list_(pa.string())] + [pa.binary()] * 4
             out, size = [[], [], [], [], [], []], 0
-            if len(aligner.index) > CACHED_CHUNKS:
+            if aligner.full():
                 aligner.clear()
             return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(row, kinds)],
                                               names=[part.split()[0] for part in _BLOCK.split(", ")])
@@ -254,18 +287,18 @@ def aligned_blocks(docs: DataFrame, file_a: str, file_b: str, block_chunks: int
             fresh = {chunk for chunks in texts for chunk in chunks}.difference(aligner.index)
             aligner.learn([chunk for chunk in fresh if len(chunk) <= LONG])
             for chunk in fresh:
-                if len(chunk) > LONG:  # one at a time
+                if len(chunk) > LONG:  # one at a time, to bound the products' memory
                     aligner.learn([chunk])
             for doc_id, chunks in zip(batch.column("doc_id").to_pylist(), texts):
                 found = np.fromiter(map(aligner.index.__getitem__, chunks), np.int64, len(chunks))
                 counts = aligner.counts[found]
                 if (counts < 0).any():
                     found, counts = found[:0], counts[:0]
-                sha = hashlib.sha256(";".join(map(aligner.groups.__getitem__, found.tolist())).encode()).hexdigest() if len(found) else ""
+                sha = hashlib.sha256("".join(map(aligner.groups.__getitem__, found.tolist()))[:-1].encode()).hexdigest() if len(found) else ""
                 for values, value in zip(out, (doc_id, *counts.sum(0).tolist(), sha, found)):
                     values.append(value)
                 size += len(found)
-            if size >= block_chunks or len(out[0]) >= 5000 or len(aligner.index) > CACHED_CHUNKS:
+            if size >= block_chunks or len(out[0]) >= 5000 or aligner.full():
                 yield sent()
         if out[0]:
             yield sent()
@@ -293,7 +326,7 @@ def link_counts(blocks: DataFrame) -> DataFrame:
             times = np.repeat(np.bincount(chunks, minlength=len(links)), links)
             codes, back = np.unique(np.r_[codes, own], return_inverse=True)
             counts = np.bincount(back, np.r_[counts, times].astype(np.float64), len(codes)).astype(np.int64)
-            if len(codes) > 4 * CACHED_CHUNKS:
+            if len(codes) > 2 * CACHED_CHUNKS:
                 yield sent()
                 codes, counts = codes[:0], counts[:0]
         yield sent()
@@ -380,17 +413,16 @@ def links(docs: DataFrame, file_a: str, file_b: str, kind: str = "overlap") -> D
             text = batch.column("text")[0].as_py()
             if not text:
                 continue
-            whole = (" " + text).encode()
-            ids_a, ids_b = aligner.a.encode(" " + text, add_special_tokens=False).ids, aligner.b.encode(text)
-            if b"".join(map(aligner.bytes_a.__getitem__, ids_a)) != whole or b"".join(map(aligner.bytes_b.__getitem__, ids_b)) != whole:
+            _, ids_a, ids_b, good = next(aligner.encoded([[" " + text]]))
+            if not good:
                 continue
-            aligned = Alignment([ids_a], [ids_b], aligner.bytes_a, aligner.bytes_b)
+            aligned = Alignment(aligner, ids_a, ids_b)
             for a, b, value in aligned.group_links() if kind == "group" else aligned.overlap_links():
                 if kind == "end":
                     together = aligned.ends_a[a] == aligned.ends_b[b]
                     a, b, value = a[together], b[together], value[together]
                 doc_ids = pa.array([batch.column("doc_id")[0].as_py()] * len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, (a, b, aligned.flat_a[a], aligned.flat_b[b], value.astype(np.int64)))], names=fields)
+                yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, (a, b, aligned.a[a], aligned.b[b], value.astype(np.int64)))], names=fields)
 
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{name} long" for name in fields))
 
