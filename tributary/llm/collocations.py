@@ -49,7 +49,7 @@ SCALE = 1_000_000
 BLOCK_WORDS = 1_000_000
 SHARE_WORDS = 1_000_000
 #: Rows that a task may rank.
-RANKED_ROWS = 100_000
+RANKED_ROWS = 10_000
 
 # signs that end a piece become a mark that no word holds
 _ENDS = b".,;:!?\n\x0b\x0c\r"
