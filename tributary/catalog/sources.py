@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tributary.catalog.detection import VERDICT_STEPS
+from tributary.catalog.diffs import FILE_STEPS
 from tributary.catalog.registry import QUERIES, query
 from tributary.operators import replay, stats
 from tributary.session import scratch_path
@@ -185,19 +186,21 @@ register("STR4_resumed_grid", ["grid_cells", "grid"],
 
 
 def streamed_scores(spark: SparkSession, sf_dir: str):
+    """Arriving diffs scored with the forest of the search; a diff is in one of the two tables."""
     from tributary.catalog.features import ALL
-    from tributary.catalog.models import split_features
-    from tributary.fixed_values import V1_COLUMNS
-    from tributary.operators import ml
+    from tributary.catalog.models import diff_forest, sound
 
-    train, _ = split_features([corpus_view(spark, sf_dir, v) for v in ALL], "v1")
-    model = ml.fit_forest(train, V1_COLUMNS, num_trees=10, max_depth=5)
+    forests = diff_forest([corpus_view(spark, sf_dir, v) for v in ALL])
     path, output, refused = (scratch_path(spark, n) for n in ("diffs", "scored", "refused"))
     diffs = corpus_view(spark, sf_dir, "diffs").drop("comment")
     diffs.write.parquet(path)
     stream = spark.readStream.schema(diffs.schema).parquet(path)
-    jobs.score_diffs(stream, model, output, refused, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(output).select("diff_id", F.round("probability", 4).alias("merge_probability"), "prediction")
+    jobs.score_diffs(stream, forests, output, refused, scratch_path(spark, "progress")).awaitTermination()
+    scored = spark.read.parquet(output)
+    return scored.select("diff_id", F.lit("scored").alias("outcome"), sound("probability", "prediction").alias("is_sound")).unionByName(
+        spark.read.parquet(refused).select("diff_id", F.lit("refused").alias("outcome"), F.lit(True).alias("is_sound")))
 
 
 QUERIES["STR3_streamed_scores"] = streamed_scores
+ORACLES["STR3_streamed_scores"] = check_sql(
+    ["diffs"], "SELECT diff_id, CASE WHEN diff_id IN (SELECT diff_id FROM pfiles) THEN 'scored' ELSE 'refused' END AS outcome, true AS is_sound FROM diffs", FILE_STEPS)

@@ -104,7 +104,7 @@ def merge_scores(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return metrics(spread.groupBy("scope", "context_kind", "strategy").agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
 
-def roc_auc(frame: DataFrame, keys: Sequence[str], score: str, y: str = "y") -> DataFrame:
+def roc_auc(frame: DataFrame, keys: Sequence[str], score: str, y: str = "y", digits: int | None = 4) -> DataFrame:
     """Area under the ROC curve per group, equal scores counted half.
 
     Equal scores collapse to one row before anything is ordered; the negatives
@@ -116,7 +116,8 @@ def roc_auc(frame: DataFrame, keys: Sequence[str], score: str, y: str = "y") ->
     ranked = prefix_sums(counts, list(keys), [score], ["neg"], unit_bucket(score))
     won = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.groupBy(*keys).agg(F.round(F.try_divide(won, pairs), 4).alias("roc_auc"))
+    area = F.try_divide(won, pairs)
+    return ranked.groupBy(*keys).agg((area if digits is None else F.round(area, digits)).alias("roc_auc"))
 
 
 def model_metrics(scored: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:

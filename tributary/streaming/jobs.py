@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tributary.operators.diffs import diff_features
-from tributary.operators.ml import score
+from tributary.operators.forest_search import Forest, score
+from tributary.operators.ml import labelled
 from tributary.operators.replay import CELL, missing_cells
 from tributary.sources import records
 
@@ -52,14 +52,14 @@ def distinct_records(stream: DataFrame, keys: list[str], clock: str, delay: str
     return stream.withWatermark(clock, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def score_diffs(stream: DataFrame, model: PipelineModel, output: str, refused: str, checkpoint: str) -> StreamingQuery:
+def score_diffs(stream: DataFrame, forests: dict[str, Forest], output: str, refused: str, checkpoint: str) -> StreamingQuery:
     """Score arriving diffs; diffs without files go to the refused table."""
     from tributary.operators.diffs import unparseable
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            scored = score(model, diff_features(batch)).select("diff_id", "probability", "prediction")
+            scored = labelled(score(forests, diff_features(batch), ["diff_id"])).select("model", "diff_id", "probability", "prediction")
             scored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
             unparseable(batch).select("diff_id").write.mode("overwrite").parquet(f"{refused}/batch_id={batch_id}")
         finally:
