@@ -109,3 +109,27 @@ def test_filter_levels(spark):
     others = found.levels(chance.integers(0, 2**63, 60_000).astype(np.uint64))
     assert (others > 0).mean() < 0.02
     assert bloom.build(frame.limit(0), 0).levels(codes.view(np.uint64)).sum() == 0
+
+
+@pytest.mark.parametrize("shared_by", [None, 7])
+def test_a_filter_that_tasks_may_not_hold_gives_the_same_scores(spark, monkeypatch, shared_by):
+    docs = odd_documents(spark, extra=True)
+    model, counts = lm.train(docs)
+    assert model.levels.held
+    want = sorted(rows(lm.score(docs, model, counts)), key=str)
+    if shared_by:
+        monkeypatch.setattr(lm, "SCORED", shared_by)
+    monkeypatch.setattr(bloom, "HELD_BYTES", 0)
+    model, counts = lm.train(docs)
+    assert not model.levels.held and not model.levels.shards
+    assert sorted(rows(lm.score(docs, model, counts)), key=str) == want
+    assert lm.score(no_documents(spark), model, counts).count() == 0
+
+
+def test_counts_from_255_on_travel_too():
+    codes, counts = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([1, 254, 255, 256, 1 << 40, 3, 255, 1])
+    batch = lm._cells(codes, counts, 2, 3)
+    got = {}
+    for data, small_, larger in zip(*(batch.column(c).to_pylist() for c in ("codes", "counts", "larger"))):
+        got |= dict(zip(np.frombuffer(data, np.uint64).tolist(), lm._counts(small_, larger).tolist()))
+    assert got == dict(zip(codes.tolist(), counts.tolist()))

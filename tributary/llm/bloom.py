@@ -3,9 +3,11 @@
 A code of level q is inserted under q keys (code, 1) to (code, q).  A reader probes levels 1, 2, ... until one is
 missing; the last hit is the level.  Errors are one-sided: a level is never too low.
 
-All bits of a code lie in one block, so blocks are filled independently and only finished blocks travel.  The filter grows
-with its keys.  It is broadcast in shards of up to ``SHARD_BYTES``: one shard is held by a task, of several a task
-holds one at a time, so neither a task nor the driver needs memory for the whole of a large filter.
+Codes are dealt to shares by their high bits, and a share fills blocks of its own, as many as its keys ask for; all bits of a
+code lie in one block.  So whoever gathers a share's codes can fill its part of the filter at once, and nothing but
+finished blocks is written.  The filter grows with its keys.  Up to ``HELD_BYTES`` it is broadcast, in shards of ``SHARD_BYTES``,
+of which the driver holds one at a time.  Beyond it nothing is broadcast: readers deal their distinct codes to
+the shares and get the levels back (:func:`probe_shares`), so that what is read grows with the codes, not with codes times filter.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tributary.session import cut_lineage
+from tributary.session import scratch_path
 
 BLOCK_BITS = 1 << 19
 BITS_PER_KEY = 12
 PROBES = 4
-#: Bytes of one broadcast shard, in whole blocks.
+#: Bytes of one broadcast shard, in whole blocks, and of a filter that tasks hold.
 SHARD_BYTES = 1 << 25
+HELD_BYTES = 1 << 28
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -38,101 +42,146 @@ def _keys(codes: np.ndarray, level: int) -> np.ndarray:
     return mixed(codes + np.uint64(level * 0x9E3779B97F4A7C15 & 2**64 - 1))
 
 
-def _block(codes: np.ndarray, blocks: int) -> np.ndarray:
-    return ((mixed(codes) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+def share_of(codes: np.ndarray, shares: int) -> np.ndarray:
+    """The share of each code, by the high bits of its mix."""
+    return (((mixed(codes) >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)).astype(np.int64)
+
+
+def _block(codes: np.ndarray, blocks) -> np.ndarray:
+    """The block of each code among those of its share, by the low bits of its mix."""
+    return (((mixed(codes) & np.uint64(0xFFFFFFFF)) * np.asarray(blocks, np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
+def cut_by_share(codes: np.ndarray, shares: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The codes' order by share (equal ones keep theirs), and (share, first, end) of each share in it."""
+    owner = share_of(codes, shares)
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    starts = np.flatnonzero(np.r_[len(owner) > 0, owner[1:] != owner[:-1]])
+    return order, list(zip(owner[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(owner)]))
 
 
 def _spot(keys: np.ndarray, probe: int) -> np.ndarray:
     return (keys * _ODD[probe]) >> np.uint64(45)
 
 
-def _shard_blocks() -> int:
-    return max(1, SHARD_BYTES * 8 // BLOCK_BITS)
+def filled(codes: np.ndarray, levels: np.ndarray, bits_per_key: int) -> np.ndarray:
+    """The blocks of a share that holds these codes, a row of bytes each."""
+    blocks = max(1, -(-int(levels.sum()) * bits_per_key // BLOCK_BITS))
+    bits = np.zeros(blocks * BLOCK_BITS, np.uint8)
+    level = 0
+    while len(codes):
+        level += 1
+        first = _block(codes, blocks) * BLOCK_BITS
+        keys = _keys(codes, level)
+        for probe in range(PROBES):
+            bits[first + _spot(keys, probe).astype(np.int64)] = 1
+        codes, levels = codes[levels > level], levels[levels > level]
+    return np.packbits(bits, bitorder="little").reshape(blocks, -1)
 
 
-class LevelFilter:
-    """The finished filter; each shard has one row of bytes for each of its ``shard_blocks`` blocks."""
+def block_rows(share: int, bits: np.ndarray) -> dict:
+    """Columns ``share``, ``block`` and ``bits`` of a share's blocks."""
+    return {"share": pa.array([share] * len(bits), pa.int32()), "block": pa.array(range(len(bits)), pa.int32()), "bits": pa.array([row.tobytes() for row in bits], pa.binary())}
 
-    def __init__(self, blocks: int, shard_blocks: int, shards: list[Broadcast]):
-        self.blocks, self.shard_blocks, self.shards = blocks, shard_blocks, shards
 
-    def levels(self, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(codes), np.int64)
-        if not self.blocks or not len(codes):
-            return out
-        block = _block(codes, self.blocks).astype(np.int64)
-        if len(self.shards) == 1:
-            return _probe(self.shards[0].value, codes, block)
-        owner = block // self.shard_blocks
-        order = np.argsort(owner, kind="stable")
-        ends = np.searchsorted(owner[order], np.arange(len(self.shards) + 1))
-        for number, shard in enumerate(self.shards):
-            own = order[ends[number]:ends[number + 1]]
-            if len(own):
-                out[own] = _probe(shard.value, codes[own], block[own] - number * self.shard_blocks)
-                vars(shard).pop("_value", None)  # else each shard that was read would stay in the task
-        return out
-
-
-def _probe(bits: np.ndarray, codes: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Levels of codes whose blocks are these rows of ``bits``."""
+def _probe(bits: list[np.ndarray], shard: np.ndarray, row: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Levels of codes whose blocks are these rows of these shards."""
     out = np.zeros(len(codes), np.int64)
-    alive, level = np.arange(len(codes)), 0
-    while len(alive):
-        level += 1
-        keys = _keys(codes[alive], level)
-        for probe in range(PROBES):
-            spots = _spot(keys, probe)
-            hit = bits[block[alive], spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & 1 == 1
-            alive, keys = alive[hit], keys[hit]
-        out[alive] = level
+    for number, part in enumerate(bits):
+        alive = np.flatnonzero(shard == number) if len(bits) > 1 else np.arange(len(codes))
+        level = 0
+        while len(alive):
+            level += 1
+            keys = _keys(codes[alive], level)
+            for probe in range(PROBES):
+                spots = _spot(keys, probe)
+                hit = part[row[alive], spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & 1 == 1
+                alive, keys = alive[hit], keys[hit]
+            out[alive] = level
     return out
 
 
-def build(levels: DataFrame, keys: int) -> LevelFilter:
-    """The filter of rows (code long, level int); ``keys``: the sum of their levels, which sets the size."""
-    blocks = -(-max(1, keys) * BITS_PER_KEY // BLOCK_BITS) if keys else 0
-    most = _shard_blocks()
-    if not blocks:
-        return LevelFilter(0, most, [])
+class LevelFilter:
+    """The finished filter: ``table`` has its blocks; up to ``HELD_BYTES`` they are broadcast too, and ``levels`` probes them."""
+
+    def __init__(self, shares: int, blocks: np.ndarray, table: DataFrame | None, place: np.ndarray, shards: list[Broadcast]):
+        self.shares, self.blocks, self.table, self.place, self.shards = shares, blocks, table, place, shards
+
+    @property
+    def held(self) -> bool:
+        return bool(self.shards) or not self.blocks.sum()
+
+    def for_tasks(self) -> LevelFilter:
+        return LevelFilter(self.shares, self.blocks, None, self.place, self.shards)
+
+    def levels(self, codes: np.ndarray) -> np.ndarray:
+        if not self.shards or not len(codes):
+            return np.zeros(len(codes), np.int64)
+        share = share_of(codes, self.shares)
+        own = self.blocks[share]
+        place = self.place[(np.cumsum(self.blocks) - self.blocks)[share] + np.minimum(_block(codes, own), np.maximum(0, own - 1))]
+        rows = len(self.shards[0].value)
+        return np.where(own > 0, _probe([s.value for s in self.shards], place // rows, place % rows, codes), 0)
+
+
+def finished(table: DataFrame, shares: int) -> LevelFilter:
+    """The filter of written blocks (share, block, bits); broadcast if its size, which is counted first, allows it."""
+    sizes = table.groupBy("share").agg(F.count("*").alias("n")).collect()  # a row for each share
+    blocks = np.zeros(shares, np.int64)
+    for row in sizes:
+        blocks[row["share"]] = row["n"]
+    total = int(blocks.sum())
+    if not total or total * BLOCK_BITS // 8 > HELD_BYTES:
+        return LevelFilter(shares, blocks, table, np.zeros(0, np.int64), [])
+    rows = max(1, min(total, SHARD_BYTES * 8 // BLOCK_BITS))
+    first, place, shards, shard = np.cumsum(blocks) - blocks, np.zeros(total, np.int64), [], None
+    # the driver holds one shard at a time, filled in the order in which blocks arrive
+    for number, row in enumerate(table.toLocalIterator()):
+        if number % rows == 0:
+            shard = np.zeros((rows, BLOCK_BITS // 8), np.uint8)
+        place[first[row["share"]] + row["block"]] = number
+        shard[number % rows] = np.frombuffer(row["bits"], np.uint8)
+        if number % rows == rows - 1 or number == total - 1:
+            shards.append(table.sparkSession.sparkContext.broadcast(shard))
+    return LevelFilter(shares, blocks, table, place, shards)
+
+
+def build(levels: DataFrame, keys: int, shares: int = 16) -> LevelFilter:
+    """The filter of rows (code long, level int)."""
+    bits_per_key = BITS_PER_KEY
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = batch.column("code").to_numpy().view(np.uint64)
-            top = batch.column("level").to_numpy()
-            for level in range(1, int(top.max(initial=0)) + 1):
-                some = codes[top >= level]
-                found = _keys(some, level)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_block(some, blocks).astype(np.int32)), pa.array(found.view(np.int64))], names=["block", "key"])
+            codes, top = batch.column("code").to_numpy().view(np.uint64), batch.column("level").to_numpy()
+            order, cuts = cut_by_share(codes, shares)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([share for share, _, _ in cuts], pa.int32()), pa.array([codes[order[s:e]].tobytes() for _, s, e in cuts], pa.binary()),
+                pa.array([top[order[s:e]].astype(np.int32).tobytes() for _, s, e in cuts], pa.binary())], names=["share", "codes", "levels"])
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
-        found = group.column("key").to_numpy().view(np.uint64)
-        bits = np.zeros(BLOCK_BITS, np.uint8)
-        for probe in range(PROBES):
-            bits[_spot(found, probe)] = 1
-        return pa.table({"block": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]},
-                        schema=pa.schema([("block", pa.int32()), ("bits", pa.binary())]))
-
-    rows = levels.select("code", "level").mapInArrow(spread, "block int, key long")
-    filled = rows.groupBy("block").applyInArrow(fill, "block int, bits binary")
-    # the driver holds one shard at a time: blocks arrive in order, a partition at a time
-    arriving = filled.collect() if blocks <= most else cut_lineage(filled.orderBy("block")).toLocalIterator()
-    shards: list[Broadcast] = []
-
-    def finished(number: int, found: dict[int, bytes]) -> None:
-        out = np.zeros((min(most, blocks - number * most), BLOCK_BITS // 8), np.uint8)
-        for block, bits in found.items():
-            out[block - number * most] = np.frombuffer(bits, np.uint8)
-        shards.append(levels.sparkSession.sparkContext.broadcast(out))
-
-    found: dict[int, bytes] = {}
-    for row in arriving:
-        while row.block >= (len(shards) + 1) * most:
-            finished(len(shards), found)
-            found = {}
-        found[row.block] = row.bits
-    while len(shards) * most < blocks:
-        finished(len(shards), found)
-        found = {}
-    return LevelFilter(blocks, most, shards)
+        codes, levels = (np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()]) for c, kind in (("codes", np.uint64), ("levels", np.int32)))
+        return pa.table(block_rows(key[0].as_py(), filled(codes, levels, bits_per_key)))
+
+    if not keys:
+        return LevelFilter(shares, np.zeros(shares, np.int64), None, np.zeros(0, np.int64), [])
+    path = scratch_path(levels.sparkSession, "filter")
+    rows = levels.select("code", "level").mapInArrow(spread, "share int, codes binary, levels binary")
+    rows.groupBy("share").applyInArrow(fill, "share int, block int, bits binary").write.parquet(path)
+    return finished(levels.sparkSession.read.parquet(path), shares)
+
+
+def probe_shares(cells: DataFrame, found: LevelFilter) -> DataFrame:
+    """``reader``, ``share`` and ``levels`` (a byte each) of cells (reader long, share int, codes binary): codes meet their share's blocks."""
+
+    def probe(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(zip(right.column("block").to_pylist(), right.column("bits").to_pylist()))
+        bits = np.stack([np.frombuffer(b, np.uint8) for _, b in rows]) if rows else None
+        out = []
+        for data in left.column("codes").to_pylist():
+            codes = np.frombuffer(data, np.uint64)
+            levels = np.zeros(len(codes), np.int64) if bits is None else _probe([bits], None, _block(codes, len(rows)), codes)
+            out.append(levels.astype(np.uint8).tobytes())
+        return pa.table({"reader": left.column("reader"), "share": left.column("share"), "levels": pa.array(out, pa.binary())})
+
+    return cells.groupBy("share").cogroup(found.table.groupBy("share")).applyInArrow(probe, "reader long, share int, levels binary")
