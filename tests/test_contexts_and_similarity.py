@@ -143,3 +143,21 @@ def test_substantive_comment(spark):
     frame = spark.createDataFrame([("```suggestion\nx\n```",), ("  needs a test case ",)], "b string")
     got = [r["t"] for r in frame.select(answers.substantive_comment(F.col("b")).alias("t")).collect()]
     assert got == [None, "needs a test case"]
+
+
+def test_long_references_take_rounds(spark, monkeypatch):
+    """Hypotheses beyond one state word against references of several chunks, and of none."""
+    rng = random.Random(8)
+    prose = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    refs = {1: [prose(40) for _ in range(9)], 2: [prose(3)], 3: [prose(100)], 4: [[]]}
+    hyps = {(1, "k", "s"): prose(62), (1, "k", "t"): prose(63), (1, "k", "u"): prose(200), (2, "k", "s"): prose(1), (3, "k", "s"): [], (4, "k", "s"): prose(5), (9, "k", "s"): prose(5)}
+    references = spark.createDataFrame([(p, i, t) for p, ts in refs.items() for i, t in enumerate(ts)], "pr_id long, comment_id long, tokens array<string>")
+    hypotheses = spark.createDataFrame([(*k, t) for k, t in hyps.items()], "pr_id long, context_kind string, strategy string, tokens array<string>")
+    for size in (50_000, 70):
+        monkeypatch.setattr(textmetrics, "CHUNK_TOKENS", size)
+        got = {(r["pr_id"], r["context_kind"], r["strategy"]): r["rougeL"] for r in textmetrics.rouge_l(hypotheses, references).collect()}
+        assert set(got) == {key for key in hyps if key[0] in refs}
+        for key, value in got.items():
+            a, b = hyps[key], [t for tokens in refs[key[0]] for t in tokens]
+            common = lcs(a, b) if a and b else 0
+            assert value == pytest.approx(2 * common / (len(a) + len(b)) if common else 0, abs=1e-4)

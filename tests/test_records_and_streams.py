@@ -74,3 +74,42 @@ def test_cut_log_lines_are_rejected(spark, tmp_path):
     assert [r.pr_id for r in logs.read_log(spark, str(tmp_path)).collect()] == ["p"]
     assert logs.read_log(spark, str(tmp_path)).count() == 1
     assert [r.line for r in logs.rejected_log_lines(spark, str(tmp_path)).collect()] == ['{"pr_id": "q", "ta']
+
+
+def test_one_pass_writes_the_tables_that_projections_give(spark, tmp_path):
+    second = json.loads(json.dumps(RECORD))
+    second["pull_request"] |= {"id": "PR2", "commits": None, "reviews": {"nodes": [None, {"id": "R2", "state": "X", "author": None, "comments": None}]},
+                               "comments": {"nodes": []}, "author": {"login": "Copilot", "__typename": "Bot"}}
+    third = {"owner": "o", "repo": "r", "number": 9, "pull_request": {"id": "PR3", "commits": {"nodes": [None, {"commit": {"oid": "z", "message": "Initial plan"}}]}}}
+    again = json.loads(json.dumps(RECORD))  # the same request landed twice
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, record in enumerate((RECORD, second, third, again)):
+        (folder / f"{i}.json").write_text(json.dumps(record, indent=1))
+    rows = records.read_records(spark, str(folder))
+    records.fan_out(rows, str(tmp_path / "out"))
+    for name, table in records.build_tables(rows).items():
+        written = records.fanned_table(spark, str(tmp_path / "out"), name)
+        assert written.columns == table.columns
+        assert sorted(map(str, written.collect())) == sorted(map(str, table.collect())), name
+    assert records.fanned_table(spark, str(tmp_path / "out"), "pull_requests").count() == 4
+    plan = records.pull_requests(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1 and "Exchange" not in plan
+
+
+def test_detection_in_the_row_equals_detection_by_joins(spark, tmp_path):
+    land(tmp_path / "in")
+    rows = records.read_records(spark, str(tmp_path / "in"))
+    requests = rows.selectExpr("pull_request.id AS id", "pull_request.author.login AS author_login", "pull_request.author.__typename AS author_type")
+    joined = detection.detect(requests, records.commits(rows), records.reviews(rows), records.review_comments(rows), records.issue_comments(rows))
+    in_row = records._detected(rows).select(joined.columns)
+    assert in_row.collect() == joined.collect()
+
+
+def test_a_file_that_is_no_record_costs_itself_only(spark, tmp_path):
+    land(tmp_path / "in")
+    (tmp_path / "in" / "empty.json").write_text("  \n")
+    (tmp_path / "in" / "other.json").write_text('{"a": 1}')
+    good, bad = records.read_documents(spark, str(tmp_path / "in"))
+    assert [r.number for r in good.collect()] == [7] and records.build_tables(good)["commits"].count() == 2
+    assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in bad.collect()) == [("bad.json", "not a record"), ("empty.json", "empty"), ("other.json", "no pull request")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tributary.catalog.detection import human_sql
@@ -296,7 +298,20 @@ def rouge(grid, review_comments):
     return textmetrics.rouge_n(*_sides(grid, review_comments, textmetrics.word_tokens))
 
 
-@query("MET2_rouge_l", "grid", "review_comments")
+# The longest common subsequence: positions in the hypothesis of the reference's tokens, the later ones first for each token; the
+# longest rising run of them, by the least last position of a run of each length.
+LCS_STEPS = {
+    "hyp_at": "SELECT pr_id, context_kind, strategy, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS j FROM hyp_tok",
+    "ref_at": "SELECT pr_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM ref_tok",
+    "met": """SELECT pr_id, context_kind, strategy, list([j] ORDER BY i, j DESC) AS js FROM hyp_at JOIN ref_at USING (pr_id, t) GROUP BY ALL""",
+    "rising": """SELECT pr_id, context_kind, strategy, len(list_reduce(list_prepend(CAST([] AS BIGINT[]), js),
+        lambda tails, x: tails[1:len(list_filter(tails, lambda y: y < x[1]))] || x || tails[len(list_filter(tails, lambda y: y < x[1])) + 2:])) AS lcs FROM met""",
+    "rl": """SELECT h.pr_id, h.context_kind, h.strategy, round(CASE WHEN coalesce(lcs, 0) > 0 THEN 2.0 * lcs / (len(h.tokens) + len(r.tokens)) ELSE 0 END, 4)::DOUBLE AS "rougeL"
+        FROM hyp_tok h JOIN ref_tok r USING (pr_id) LEFT JOIN rising USING (pr_id, context_kind, strategy)""",
+}
+
+
+@query("MET2_rouge_l", "grid", "review_comments", steps={**gram_steps(WORDS, 1), **LCS_STEPS}, sql="SELECT * FROM rl")
 def rouge_l(grid, review_comments):
     return textmetrics.rouge_l(*_sides(grid, review_comments, textmetrics.word_tokens))
 
@@ -307,6 +322,19 @@ def bleu(grid, review_comments):
     return textmetrics.bleu(*_sides(grid, review_comments, textmetrics.mteval_tokens))
 
 
-@query("AGG19_mean_text_scores", "grid", "review_comments")
+def renamed(steps: dict[str, str], ending: str) -> dict[str, str]:
+    """The steps under names of their own."""
+    names = re.compile(rf"\b({'|'.join(steps)})\b")
+    return {f"{name}{ending}": names.sub(rf"\g<1>{ending}", text) for name, text in steps.items()}
+
+
+TEXT_STEPS = {**renamed({**gram_steps(WORDS, 2), "rg": ROUGE, **LCS_STEPS}, "_w"), **renamed({**gram_steps(MARK_TOKENS, 4), "wide": BLEU_WIDE, "bl": BLEU}, "_m")}
+
+
+@query("AGG19_mean_text_scores", "grid", "review_comments", steps=TEXT_STEPS, sql="""
+    SELECT context_kind, strategy, count(*) AS n, count(DISTINCT pr_id) AS n_prs_with_ground_truth, round(avg(coalesce(bleu, 0)), 3) AS bleu,
+        round(avg(coalesce(rouge1, 0)), 4) AS rouge1, round(avg(coalesce(rouge2, 0)), 4) AS rouge2, round(avg(coalesce("rougeL", 0)), 4) AS "rougeL"
+    FROM hyps_w LEFT JOIN bl_m USING (pr_id, context_kind, strategy) LEFT JOIN rg_w USING (pr_id, context_kind, strategy)
+    LEFT JOIN rl_w USING (pr_id, context_kind, strategy) GROUP BY ALL""")
 def mean_scores(grid, review_comments):
     return textmetrics.mean_text_scores(textmetrics.text_scores(grid, scoring.reference_comments(review_comments)))

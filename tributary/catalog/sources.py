@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -78,16 +80,15 @@ register("FLT9_truncated_connections", ["commits", "pull_requests"],
 
 
 def fanned_out(spark: SparkSession, sf_dir: str):
-    return table_counts(spark, records.write_tables(records.build_tables(landed(spark, sf_dir)), scratch_path(spark, "tables")))
+    path = scratch_path(spark, "tables")
+    records.fan_out(landed(spark, sf_dir), path)
+    return counted({name: records.fanned_table(spark, path, name) for name in records.TABLES})
 
 
-def table_counts(spark: SparkSession, written: list[str]):
-    """Name and number of rows of each written table."""
-    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(p.rsplit("/", 1)[1])) for p in written]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+def counted(tables: dict):
+    """Name and number of rows of each table."""
+    parts = [table.agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)) for name, table in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 TABLE_COUNTS = (
@@ -102,6 +103,39 @@ TABLE_COUNTS = (
 register("SRC4_FLT8_fan_out", CHILDREN, TABLE_COUNTS, fanned_out)
 
 
+def fanned_commits(spark: SparkSession, sf_dir: str):
+    path = scratch_path(spark, "tables")
+    records.fan_out(landed(spark, sf_dir), path)
+    return records.fanned_table(spark, path, "commits")
+
+
+register("SRC4_fanned_commits", ["commits", "pull_requests"], ORACLES["FLT2_commits"].removeprefix(check_sql(["commits", "pull_requests"], "")), fanned_commits)
+
+
+def landed_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of record files, one indented document each, beside files that are cut off, empty, or hold another document."""
+    path = scratch_path(spark, "documents")
+    rows = nested(spark, sf_dir).withColumn("n", F.col("number") % 7)
+    text = F.to_json(F.struct("owner", "repo", "number", "pull_request", "files"), {"pretty": "true"})
+    broken = F.when(F.col("n") == 3, F.expr("substring(value, 1, cast(length(value) / 2 as int))")).when(F.col("n") == 5, "[1, 2]").otherwise(F.col("value"))
+    # one document a file: a file ends where its partition value does
+    rows.select(F.col("pull_request.id").alias("document"), "n", text.alias("value")).where("cast(document as long) % 50 = 0").select("document", broken.alias("value")).write.partitionBy(
+        "document").text(path)
+    return path
+
+
+register("SRC2_whole_documents", ["pull_requests"], """SELECT CAST(id AS VARCHAR) AS document, CASE WHEN number % 7 IN (3, 5) THEN 'rejected' ELSE 'read' END AS outcome,
+             CASE WHEN number % 7 NOT IN (3, 5) THEN owner END AS owner, CASE WHEN number % 7 NOT IN (3, 5) THEN number END AS number FROM pull_requests WHERE id % 50 = 0""",
+         lambda s, d: whole_documents(s, landed_documents(s, d)))
+
+
+def whole_documents(spark: SparkSession, path: str):
+    good, bad = records.read_documents(spark, path)
+    name = F.regexp_extract("path", "document=([^/]+)", 1).alias("document")
+    return good.select(name, F.lit("read").alias("outcome"), "owner", "number").unionByName(
+        bad.select(name, F.lit("rejected").alias("outcome")), allowMissingColumns=True)
+
+
 def logged(spark: SparkSession, sf_dir: str):
     """Two appends to one log and a line that a killed run cut off, read back."""
     path = scratch_path(spark, "log")
@@ -145,7 +179,7 @@ register("STR1_streamed_ingest", ["commits", "pull_requests"],
 
 def streamed_tables(spark: SparkSession, sf_dir: str):
     output = streamed_ingest(spark, sf_dir)
-    return table_counts(spark, [f"{output}/{name}" for name in [*CHILDREN, "ai_signals"]])
+    return counted({name: spark.read.parquet(f"{output}/{name}") for name in records.TABLES})
 
 
 register("STR1_streamed_tables", CHILDREN, TABLE_COUNTS, streamed_tables)

@@ -6,7 +6,7 @@ are evidence reach the shuffle, and one row per pull request leaves each task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary import fixed_values as fixed
@@ -20,21 +20,35 @@ from tributary.functions.actors import (
 from tributary.functions.text import strip
 
 
+def agent_login(login: Column, name: Column, email: Column) -> Column:
+    """The coding agent that a commit's account, name or address names, in this order; else null."""
+    candidates = [normalize_login(login), normalize_login(name), email_login(email)]
+    return F.coalesce(*[F.when(is_coding_agent(c), c) for c in candidates])
+
+
+def is_placeholder(message: Column) -> Column:
+    return F.startswith(F.lower(strip(F.coalesce(message, F.lit("")))), F.lit(fixed.INITIAL_PLAN))
+
+
+def evidence_columns(named: Column, agent: Column, sha: Column) -> list[Column]:
+    """``method, confidence, login, evidence``: of the named agent's commit, else of the placeholder."""
+    return [
+        F.when(named, "commit_agent_identity").otherwise("commit_initial_plan").alias("method"),
+        F.when(named, fixed.CONFIDENCE_COMMIT_IDENTITY).otherwise(fixed.CONFIDENCE_INITIAL_PLAN).alias("confidence"),
+        F.when(named, agent).otherwise(fixed.INITIAL_PLAN_LOGIN).alias("login"),
+        F.when(named, F.concat(F.lit("commit "), F.substring(sha, 1, 10), F.lit(" authored by agent identity '"), agent, F.lit("'")))
+        .otherwise("first commit message is Copilot's 'Initial plan' placeholder").alias("evidence"),
+    ]
+
+
 def commit_evidence(commits: DataFrame) -> DataFrame:
     """``pr_id, method, confidence, login, evidence`` for requests whose commits point to an agent.
 
     The earliest commit with an agent identity wins (account, then name, then
     address); otherwise a first commit with the placeholder message counts.
     """
-    candidates = [
-        normalize_login(F.col("author_login")),
-        normalize_login(F.col("author_name")),
-        email_login(F.col("author_email")),
-    ]
-    agent = F.coalesce(*[F.when(is_coding_agent(c), c) for c in candidates])
-    placeholder = (F.col("commit_ord") == 0) & F.startswith(
-        F.lower(strip(F.coalesce("message", F.lit("")))), F.lit(fixed.INITIAL_PLAN)
-    )
+    agent = agent_login(F.col("author_login"), F.col("author_name"), F.col("author_email"))
+    placeholder = (F.col("commit_ord") == 0) & is_placeholder(F.col("message"))
     hits = (
         commits.select("pr_id", "commit_ord", F.coalesce("sha", F.lit("")).alias("sha"), agent.alias("_agent"),
                        placeholder.alias("_plan"))
@@ -42,17 +56,7 @@ def commit_evidence(commits: DataFrame) -> DataFrame:
         .groupBy("pr_id")
         .agg(F.min_by(F.struct("_agent", "sha"), F.when(F.col("_agent").isNotNull(), F.col("commit_ord"))).alias("_hit"))
     )
-    named = F.col("_hit").isNotNull()
-    return hits.select(
-        "pr_id",
-        F.when(named, "commit_agent_identity").otherwise("commit_initial_plan").alias("method"),
-        F.when(named, fixed.CONFIDENCE_COMMIT_IDENTITY).otherwise(fixed.CONFIDENCE_INITIAL_PLAN).alias("confidence"),
-        F.when(named, F.col("_hit._agent")).otherwise(fixed.INITIAL_PLAN_LOGIN).alias("login"),
-        F.when(named, F.concat(
-            F.lit("commit "), F.substring("_hit.sha", 1, 10), F.lit(" authored by agent identity '"),
-            F.col("_hit._agent"), F.lit("'")))
-        .otherwise("first commit message is Copilot's 'Initial plan' placeholder").alias("evidence"),
-    )
+    return hits.select("pr_id", *evidence_columns(F.col("_hit").isNotNull(), F.col("_hit._agent"), F.col("_hit.sha")))
 
 
 def authorship(pull_requests: DataFrame, commits: DataFrame) -> DataFrame:
@@ -68,11 +72,15 @@ def authorship(pull_requests: DataFrame, commits: DataFrame) -> DataFrame:
         )
         .join(evidence, "pr_id", "left")
     )
+    return rows.select("pr_id", "author_login", "author_type", *authorship_columns())
+
+
+def authorship_columns() -> list[Column]:
+    """Category and verdict from ``_actor``, ``author_login`` and the evidence ``_method, _confidence, _evidence``, null without any."""
     agent = F.col("_actor.category") == "ai_coding_agent"
     bot = F.col("_actor.category").isin("ai_review_bot", "other_bot")
     assisted = ~agent & ~bot & F.col("_method").isNotNull()
-    return rows.select(
-        "pr_id", "author_login", "author_type",
+    return [
         F.col("_actor.category").alias("author_category"),
         (agent | assisted).alias("is_ai_authored"),
         F.when(agent, "agent_authored").when(assisted, "human_opened_ai_assisted").alias("ai_authored_kind"),
@@ -80,7 +88,7 @@ def authorship(pull_requests: DataFrame, commits: DataFrame) -> DataFrame:
         F.when(assisted, F.col("_confidence")).otherwise(F.col("_actor.confidence")).alias("ai_authored_confidence"),
         F.when(agent, F.concat(F.lit("PR author '"), F.col("author_login"), F.lit("' is an allowlisted coding agent")))
         .when(assisted, F.col("_evidence")).alias("ai_authored_evidence"),
-    )
+    ]
 
 
 def ai_reviewers(reviews: DataFrame, review_comments: DataFrame, issue_comments: DataFrame) -> DataFrame:
@@ -114,9 +122,39 @@ def detect(
     return authorship(pull_requests, commits).join(found, "pr_id", "left").select(
         "pr_id", "author_login", "author_type", "author_category", "is_ai_authored", "ai_authored_kind",
         "ai_authored_method", "ai_authored_confidence", "ai_authored_evidence",
+        *reviewer_columns(logins, F.coalesce(F.col("ai_reviewer_sources"), none)),
+    )
+
+
+def reviewer_columns(logins: Column, sources: Column) -> list[Column]:
+    return [
         (F.size(logins) > 0).alias("is_ai_reviewed"),
         logins.alias("ai_reviewer_logins"),
         F.array_join(logins, ",").alias("ai_reviewer_logins_str"),
-        F.coalesce(F.col("ai_reviewer_sources"), none).alias("ai_reviewer_sources"),
+        sources.alias("ai_reviewer_sources"),
         F.size(logins).cast("long").alias("n_ai_reviewers"),
-    )
+    ]
+
+
+def detect_in_row(rows: DataFrame, pr_id: Column, login: Column, kind: Column, commits: Column, reviewers: dict[str, Column]) -> DataFrame:
+    """``rows`` with the columns of :func:`detect`, all from the row's own arrays: no shuffle, and nothing is exploded.
+
+    ``commits``: structs ``login, name, email, message, sha`` in order, null if there are none; ``reviewers``: by source the logins that appeared.
+    """
+    none = F.array().cast("array<string>")
+    bots = {source: F.filter(F.coalesce(logins, none), lambda x: is_review_bot(normalize_login(x))) for source, logins in reviewers.items()}
+    agents = F.filter(
+        F.transform(commits, lambda c: F.struct(agent_login(c["login"], c["name"], c["email"]).alias("agent"), F.coalesce(c["sha"], F.lit("")).alias("sha"))),
+        lambda c: c["agent"].isNotNull())
+    # each step names what the next one uses more than once, so that it is computed once
+    rows = rows.withColumns({
+        "pr_id": pr_id, "author_login": login, "author_type": kind, "_actor": classify_actor(login, kind), "_agent": F.get(agents, F.lit(0)),
+        "_plan": F.coalesce(is_placeholder(F.get(commits, F.lit(0))["message"]), F.lit(False)) & (F.size(commits) > 0),
+        **{f"_bots_{source}": logins for source, logins in bots.items()}})
+    named = F.col("_agent").isNotNull()
+    evidence = F.when(named | F.col("_plan"), F.struct(*evidence_columns(named, F.col("_agent.agent"), F.col("_agent.sha"))))
+    rows = rows.withColumn("_found", evidence).withColumns(
+        {"_method": F.col("_found.method"), "_confidence": F.col("_found.confidence"), "_evidence": F.col("_found.evidence")})
+    logins = F.array_sort(F.array_distinct(F.concat(*[F.col(f"_bots_{source}") for source in bots])))
+    sources = F.filter(F.array(*[F.when(F.size(f"_bots_{source}") > 0, F.lit(source)) for source in sorted(bots)]), lambda x: x.isNotNull())
+    return rows.withColumn("_logins", logins).select("*", *authorship_columns(), *reviewer_columns(F.col("_logins"), sources))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators.detection import detect
+from tributary.operators.detection import detect_in_row
 
 ACTOR = "struct<login:string,__typename:string>"
 COMMENT = f"struct<id:string,body:string,path:string,position:bigint,createdAt:string,author:{ACTOR}>"
@@ -34,6 +34,22 @@ def read_records(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     return raw.where(F.col(CORRUPT).isNull() & F.col("pull_request").isNotNull()).drop(CORRUPT)
 
 
+def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Files of one document each, however it is laid out: the records with their ``path``, and a table of the bad files.
+
+    A file is read as a whole and parsed in its row, so a file that is no record costs itself only; the bad table holds its ``path``, ``reason``
+    and the beginning of its text.
+    """
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    schema = f"{RECORD_SCHEMA}, {CORRUPT} string"
+    parsed = whole.withColumn("_record", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    broken = F.coalesce(F.col(f"_record.{CORRUPT}").isNotNull() | F.col("_record").isNull(), F.lit(True))
+    reason = F.when(F.rlike("value", F.lit(r"^\s*$")), "empty").when(broken, "not a record").when(F.col("_record.pull_request").isNull(), "no pull request")
+    judged = parsed.withColumn("reason", reason)
+    good = judged.where("reason IS NULL").select("path", "_record.*").drop(CORRUPT)
+    return good, judged.where("reason IS NOT NULL").select("path", "reason", F.substring("value", 1, 200).alias("beginning"))
+
+
 def _nodes(block: str) -> Column:
     """Nodes of a connection; a missing connection or a null node gives nothing."""
     return F.filter(F.col(f"pull_request.{block}.nodes"), lambda n: n.isNotNull())
@@ -45,54 +61,76 @@ def label_names(nodes: Column) -> Column:
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
+def _commit(pr_id: Column, place: Column, node: Column) -> list[Column]:
+    commit = node["commit"]
+    return [
+        pr_id.alias("pr_id"), place.cast("long").alias("commit_ord"), commit["oid"].alias("sha"), commit["message"].alias("message"),
+        commit["author"]["name"].alias("author_name"), commit["author"]["email"].alias("author_email"),
+        commit["author"]["user"]["login"].alias("author_login"), commit["additions"].alias("additions"), commit["deletions"].alias("deletions")]
+
+
+def _file(pr_id: Column, place: Column, node: Column) -> list[Column]:
+    kept = ("filename", "status", "additions", "deletions", "patch")
+    return [pr_id.alias("pr_id"), place.cast("long").alias("file_ord"), *[node[c].alias(c) for c in kept]]
+
+
+def _review(pr_id: Column, node: Column) -> list[Column]:
+    return [
+        pr_id.alias("pr_id"), node["id"].alias("review_id"), node["author"]["login"].alias("reviewer_login"),
+        node["author"]["__typename"].alias("reviewer_type"), node["state"].alias("state"), node["submittedAt"].alias("submitted_at")]
+
+
+def _review_comment(pr_id: Column, review_id: Column, node: Column) -> list[Column]:
+    return [
+        pr_id.alias("pr_id"), review_id.alias("review_id"), node["id"].alias("comment_id"), node["author"]["login"].alias("author_login"),
+        node["body"].alias("body"), node["path"].alias("path"), node["position"].alias("position"), node["createdAt"].alias("created_at")]
+
+
+def _issue_comment(pr_id: Column, node: Column) -> list[Column]:
+    return [
+        pr_id.alias("pr_id"), node["id"].alias("comment_id"), node["author"]["login"].alias("author_login"), node["body"].alias("body"),
+        node["createdAt"].alias("created_at")]
+
+
+PR_ID = "pull_request.id"
+
+
 def commits(records: DataFrame) -> DataFrame:
     """One row per commit in stored order; a null node keeps its place as an empty commit."""
-    nodes = records.select(F.col("pull_request.id").alias("pr_id"), F.posexplode("pull_request.commits.nodes").alias("n", "node"))
-    commit = F.col("node.commit")
-    return nodes.select(
-        "pr_id", F.col("n").cast("long").alias("commit_ord"), commit["oid"].alias("sha"), commit["message"].alias("message"),
-        commit["author"]["name"].alias("author_name"), commit["author"]["email"].alias("author_email"),
-        commit["author"]["user"]["login"].alias("author_login"),
-        commit["additions"].alias("additions"), commit["deletions"].alias("deletions"))
+    nodes = records.select(F.col(PR_ID).alias("pr_id"), F.posexplode("pull_request.commits.nodes").alias("n", "node"))
+    return nodes.select(*_commit(F.col("pr_id"), F.col("n"), F.col("node")))
 
 
 def files_changed(records: DataFrame) -> DataFrame:
-    rows = records.select(F.col("pull_request.id").alias("pr_id"), F.posexplode("files").alias("n", "f"))
-    return rows.select(
-        "pr_id", F.col("n").cast("long").alias("file_ord"), "f.filename", "f.status", "f.additions", "f.deletions", "f.patch")
+    rows = records.select(F.col(PR_ID).alias("pr_id"), F.posexplode("files").alias("n", "f"))
+    return rows.select(*_file(F.col("pr_id"), F.col("n"), F.col("f")))
 
 
 def reviews(records: DataFrame) -> DataFrame:
-    rows = records.select(F.col("pull_request.id").alias("pr_id"), F.explode(_nodes("reviews")).alias("r"))
-    return rows.select(
-        "pr_id", F.col("r.id").alias("review_id"), F.col("r.author.login").alias("reviewer_login"),
-        F.col("r.author.__typename").alias("reviewer_type"), "r.state", F.col("r.submittedAt").alias("submitted_at"))
+    rows = records.select(F.col(PR_ID).alias("pr_id"), F.explode(_nodes("reviews")).alias("r"))
+    return rows.select(*_review(F.col("pr_id"), F.col("r")))
 
 
 def review_comments(records: DataFrame) -> DataFrame:
-    rows = records.select(F.col("pull_request.id").alias("pr_id"), F.explode(_nodes("reviews")).alias("r"))
+    rows = records.select(F.col(PR_ID).alias("pr_id"), F.explode(_nodes("reviews")).alias("r"))
     inner = rows.select("pr_id", F.col("r.id").alias("review_id"), F.explode("r.comments.nodes").alias("c"))
-    return inner.select(
-        "pr_id", "review_id", F.col("c.id").alias("comment_id"), F.col("c.author.login").alias("author_login"),
-        "c.body", "c.path", "c.position", F.col("c.createdAt").alias("created_at"))
+    return inner.select(*_review_comment(F.col("pr_id"), F.col("review_id"), F.col("c")))
 
 
 def issue_comments(records: DataFrame) -> DataFrame:
-    rows = records.select(F.col("pull_request.id").alias("pr_id"), F.explode(_nodes("comments")).alias("c"))
-    return rows.select(
-        "pr_id", F.col("c.id").alias("comment_id"), F.col("c.author.login").alias("author_login"), "c.body",
-        F.col("c.createdAt").alias("created_at"))
+    rows = records.select(F.col(PR_ID).alias("pr_id"), F.explode(_nodes("comments")).alias("c"))
+    return rows.select(*_issue_comment(F.col("pr_id"), F.col("c")))
 
 
-def _plain_requests(records: DataFrame) -> DataFrame:
+def _plain_request() -> list[Column]:
     p = F.col("pull_request")
-    return records.select(
-        p["id"].alias("id"), F.concat_ws("/", "owner", "repo").alias("repo"), "owner", F.col("repo").alias("repo_name"), "number",
-        p["title"].alias("title"), p["body"].alias("body"), p["author"]["login"].alias("author_login"),
+    return [
+        p["id"].alias("id"), F.concat_ws("/", "owner", "repo").alias("repo"), F.col("owner").alias("owner"), F.col("repo").alias("repo_name"),
+        F.col("number").alias("number"), p["title"].alias("title"), p["body"].alias("body"), p["author"]["login"].alias("author_login"),
         p["author"]["__typename"].alias("author_type"), p["createdAt"].alias("created_at"), p["closedAt"].alias("closed_at"),
         p["mergedAt"].alias("merged_at"), p["state"].alias("state"), F.coalesce(p["merged"], F.lit(False)).alias("is_merged"),
         p["additions"].alias("additions"), p["deletions"].alias("deletions"), p["changedFiles"].alias("changed_files"),
-        label_names(p["labels"]["nodes"]).alias("labels"))
+        label_names(p["labels"]["nodes"]).alias("labels")]
 
 
 SIGNALS = [
@@ -101,17 +139,26 @@ SIGNALS = [
 ]
 
 
+def _detected(records: DataFrame) -> DataFrame:
+    """The records with detection columns beside them, from each record's own arrays."""
+    p, none = F.col("pull_request"), F.array().cast("array<string>")
+    made = F.transform(p["commits"]["nodes"], lambda node: F.struct(
+        node["commit"]["author"]["user"]["login"].alias("login"), node["commit"]["author"]["name"].alias("name"),
+        node["commit"]["author"]["email"].alias("email"), node["commit"]["message"].alias("message"), node["commit"]["oid"].alias("sha")))
+    inside = F.flatten(F.transform(_nodes("reviews"), lambda r: F.coalesce(F.transform(r["comments"]["nodes"], lambda c: c["author"]["login"]), none)))
+    return detect_in_row(records, p["id"], p["author"]["login"], p["author"]["__typename"], made, {
+        "review": F.transform(_nodes("reviews"), lambda r: r["author"]["login"]), "review_comment": inside,
+        "issue_comment": F.transform(_nodes("comments"), lambda c: c["author"]["login"])})
+
+
 def ai_signals(records: DataFrame) -> DataFrame:
     """One detection row per record."""
-    found = detect(
-        _plain_requests(records), commits(records), reviews(records), review_comments(records), issue_comments(records))
-    return found.select("pr_id", "author_category", *SIGNALS)
+    return _detected(records).select("pr_id", "author_category", *SIGNALS)
 
 
 def pull_requests(records: DataFrame) -> DataFrame:
     """One row per record, its detection folded in."""
-    signals = ai_signals(records).withColumnRenamed("pr_id", "id")
-    return _plain_requests(records).join(signals, "id", "left")
+    return _detected(records).select(*_plain_request(), "author_category", *SIGNALS)
 
 
 def build_tables(records: DataFrame) -> dict[str, DataFrame]:
@@ -127,6 +174,35 @@ def build_tables(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def fan_out(records: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """All seven tables below ``path`` in one pass: records are read once, each row is tagged with its table, nothing is shuffled.
+
+    A written row holds one struct, named like its table; :func:`fanned_table` reads a table back.
+    """
+    pr_id, reviewed, remarks = F.col(PR_ID), _nodes("reviews"), F.array().cast(f"array<{COMMENT}>")
+    lists = _detected(records).select(
+        F.array(F.struct(*_plain_request(), "author_category", *SIGNALS)).alias("pull_requests"),
+        F.transform("pull_request.commits.nodes", lambda node, n: F.struct(*_commit(pr_id, n, node))).alias("commits"),
+        F.transform("files", lambda node, n: F.struct(*_file(pr_id, n, node))).alias("files_changed"),
+        F.transform(reviewed, lambda r: F.struct(*_review(pr_id, r))).alias("reviews"),
+        F.flatten(F.transform(reviewed, lambda r: F.transform(F.coalesce(r["comments"]["nodes"], remarks), lambda c: F.struct(*_review_comment(pr_id, r["id"], c))))).alias("review_comments"),
+        F.transform(_nodes("comments"), lambda c: F.struct(*_issue_comment(pr_id, c))).alias("issue_comments"),
+        F.array(F.struct("pr_id", *SIGNALS)).alias("ai_signals"))
+    kinds = {field.name: field.dataType for field in lists.schema}
+
+    def tagged(name: str) -> Column:
+        return F.transform(F.coalesce(F.col(name), F.array().cast(kinds[name])), lambda row: F.struct(
+            F.lit(name).alias("table"), *[(row if other == name else F.lit(None)).cast(kind.elementType).alias(other) for other, kind in kinds.items()]))
+
+    rows = lists.select(F.explode(F.concat(*[tagged(name) for name in kinds])).alias("row")).select("row.*")
+    rows.write.mode(mode).partitionBy("table").parquet(path)
+
+
+def fanned_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the tables that :func:`fan_out` wrote; other tables' files are not read."""
+    return spark.read.parquet(f"{path}/table={name}").select(f"{name}.*")
+
+
 def truncated_connections(records: DataFrame) -> DataFrame:
     """``pr_id, connection, total, fetched`` where a page cut off nodes."""
     blocks = F.array(*[
