@@ -105,3 +105,49 @@ def test_clean_rows_are_the_same_on_both_paths(spark):
 @pytest.mark.skipif(not have_tables, reason="no test tables")
 def test_test_tables(spark):
     assert check(spark, small(spark, "documents"), rows(small(spark, "benchmark").select("item_id", "text")))
+
+
+def test_tiles_of_repeated_seeds_are_those_of_the_published_algorithm():
+    chance = random.Random(12)
+    for _ in range(200):
+        letters = chance.choice(["a", "ab", "aab", "abc"])
+        doc, item = ([chance.choice(letters) for _ in range(chance.randint(3, 40))] for _ in range(2))
+        ids = [d.np.array([1 + "abc".index(w) for w in side], d.np.uint64) for side in (doc, item)]
+        assert d.tile_repeated(*ids, 3) == plain_tiling(doc, item, 3)
+        starts = d.np.array(sorted({a for a, _ in places(doc, item, 3)}), int)
+        if len(starts):
+            part = d.tile_repeated(d.covered_part(ids[0], starts, 3), ids[1], 3)
+            assert [t[1:] for t in part] == [t[1:] for t in plain_tiling(doc, item, 3)]
+
+
+@pytest.mark.parametrize("held", [d.HELD_WORDS, 0])
+def test_repeated_words_on_both_paths(spark, held):
+    items = [(1, "word " * 300), (2, "one two three four five " * 4), (3, "plain words that stand here only once and again")]
+    docs = [(1, "word " * 20_000), (2, "word " * 40 + "other " + "word " * 120 + "end"), (3, "two three four five one two three four five one two"), (3, "two three four five one two three four five one two"),
+            (4, "nothing"), (None, "plain words that stand here only twice"), (6, None)]
+    found = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), held_words=held)
+    got = sorted(rows(found.select("doc_id", "item_id", "covered_words", "tiles", "longest_tile")), key=str)
+    want = []
+    for doc_id, text in docs:
+        for item_id, phrase in items:
+            if doc_id == 1:
+                tiles = [(0, 0, 300)] if item_id == 1 else []
+            else:
+                tiles = plain_tiling(d.tokens(text), d.tokens(phrase), 5)
+            if tiles:
+                want.append((doc_id, item_id, sum(t[2] for t in tiles), len(tiles), max(t[2] for t in tiles)))
+    assert got == sorted(want, key=str)
+
+
+def test_many_equal_words_take_little_time_and_memory():
+    import time
+    import tracemalloc
+
+    benchmark = d.Benchmark([(1, " ".join(["word"] * 300))])
+    text = "word " * 20_000
+    benchmark.matches(text)
+    tracemalloc.start()
+    started = time.time()
+    assert benchmark.matches(text) == [(1, 300, 300, 1, 300)]
+    assert time.time() - started < 5 and tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()

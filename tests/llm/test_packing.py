@@ -9,8 +9,7 @@ from tributary.llm import packing
 
 
 def plain_pieces(texts):
-    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())  # as it is: strings of special tokens are one id each
     out = []
     for doc_id, text in texts:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -90,3 +89,20 @@ def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, "a b c"), (3, None)], "doc_id long, text string")
     out = packing.sequences(packing.pack(packing.tokenise(docs, packing.tokenizer_path()))).collect()
     assert len(out) == 1 and len(out[0].ids) == 4 * (3 + 4 + 1)
+
+
+def test_special_strings_are_the_ids_of_an_untouched_tokenizer(spark):
+    import random
+
+    chance = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "a", "Don't", " ", "\n", ".", "É", "12", "<", "｜", "ﬁ"]
+    texts = [(i, "".join(chance.choice(parts) for _ in range(chance.randint(1, 12)))) for i in range(1500)]
+    frame = packed(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(rows(frame.select("doc_id", "piece", "start", "length", "ids_crc32")), key=str) == plain_pieces(texts)
+
+
+def test_columns_of_the_same_names(spark):
+    pieces = spark.createDataFrame([(1, 0, 5), (2, 0, 7), (None, 0, 2048)], "doc_id long, piece int, length long").selectExpr(
+        "*", "'x' AS fill", "'y' AS `offset`", "1 AS sequence_id", "'z' AS `__group`")
+    frame = packing.pack(pieces)
+    assert check_places(frame) == 2 and {r.fill for r in frame.collect()} == {"x"} and frame.columns.count("offset") == 1

@@ -4,7 +4,8 @@ Words are lower-cased runs of letters, digits and underscores.  A seed is a run
 rolling hash (Karp-Rabin) is looked up among the seeds of the benchmark.  For each document and item that share a
 seed, the longest match of words that no tile covers yet is marked as a tile, again and again, until no match of
 ``LEAST_TILE`` words is left.  The share of the item's words under tiles is its coverage, whatever the order of
-the tiles, so passages whose parts were moved are caught.  Items shorter than a seed use their whole length.
+the tiles, so passages whose parts were moved are caught.  Items shorter than a seed use their whole length.  Where a seed
+repeats in an item, places are not listed: the longest match is searched by Karp-Rabin hashes of falling lengths.
 
 Null or empty texts and items without words match nothing.  Repeated documents are reported each, repeated items
 under the least item id.  Extra columns are ignored by ``leaks`` and kept by ``keep_clean``.
@@ -12,8 +13,10 @@ under the least item id.  Extra columns are ignored by ``leaks`` and kept by ``k
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,6 +91,65 @@ def tile(places: list[tuple[int, int]], least: int, doc: list | None = None) ->
     return sorted(tiles)
 
 
+def tile_repeated(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The tiles of :func:`tile` for two sequences of ids whose seeds repeat, without listing the places where they meet; id 0 matches nothing.
+
+    The length of the longest match that is left is found by halving (a match of a length holds matches of all shorter ones), on hashes of all free windows
+    of a length.  Then the free windows of that length are taken in order, each with the first free one of the item that equals it; a window that is
+    not free never becomes free again, so both sides are passed once for each length that occurs.
+    """
+    # a window's hash, the sum of id * BASE^-place from its start on, is a difference of running sums; all modulo 2^64
+    powers, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(max(len(doc), len(item)), base, np.uint64)]) for base in (BASE, pow(int(BASE), -1, 1 << 64)))
+    sides = [(np.cumsum(np.r_[np.uint64(0), ids * inverse[:len(ids)]]), ids == 0) for ids in (doc, item)]
+
+    def free(length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Where windows of ``length`` without a used id start, and their hashes, on both sides."""
+        out = []
+        for sums, used in sides:
+            taken = np.r_[0, np.cumsum(used)]
+            starts = np.flatnonzero(taken[length:] == taken[:-length])
+            out.append((starts, (sums[starts + length] - sums[starts]) * powers[starts]))
+        return out
+
+    tiles, most = [], min(len(doc), len(item))
+    while most >= least:
+        low, high = least - 1, most  # a match of length low is known or too short to count
+        while low < high:
+            middle = (low + high + 1) // 2
+            (_, ours), (_, theirs) = free(middle)
+            if np.isin(ours, theirs).any():
+                low = middle
+            else:
+                high = middle - 1
+        if low < least:
+            break
+        (starts, ours), (item_starts, theirs) = free(low)
+        by_code: dict[int, list[int]] = defaultdict(list)
+        for at, code in zip(item_starts[::-1].tolist(), theirs[::-1].tolist()):
+            by_code[code].append(at)  # the first place stands last
+        doc_used, item_used = sides[0][1], sides[1][1]
+        for at, code in zip(starts.tolist(), ours.tolist()):
+            waiting = by_code.get(code)
+            while waiting and item_used[waiting[-1]:waiting[-1] + low].any():
+                waiting.pop()
+            if waiting and not doc_used[at:at + low].any() and np.array_equal(doc[at:at + low], item[waiting[-1]:waiting[-1] + low]):
+                place = waiting.pop()
+                tiles.append((at, place, low))
+                doc_used[at:at + low] = item_used[place:place + low] = True
+        most = low - 1
+    return sorted(tiles)
+
+
+def covered_part(ids: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
+    """The ids under seeds that begin at ``starts``, in order, with a 0 wherever some are left out."""
+    marks = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, starts + seed, -1)
+    kept = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+    gaps = np.flatnonzero(np.diff(kept) > 1) + 1
+    return np.insert(ids[kept], gaps, 0)
+
+
 class Benchmark:
     """Seeds of a benchmark that a task can hold."""
 
@@ -96,11 +158,18 @@ class Benchmark:
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int | None, int]] = []
         self.groups: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.repeating: dict[int, np.ndarray] = {}  # words of the items in which a seed repeats: their seeds stand under place -1, once
         for item_id, phrase in sorted(items, key=lambda item: item[1]):
             words = phrase.split(" ")
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
             seed = min(least, len(words))
-            for place, code in enumerate(rolling(self.spread(ids), seed).tolist()):
+            found = rolling(self.spread(ids), seed).tolist()
+            if len(set(found)) < len(found):
+                self.repeating[len(self.items)] = ids
+                found, places = list(set(found)), itertools.repeat(-1)
+            else:
+                places = range(len(found))
+            for place, code in zip(places, found):
                 self.groups[seed][code].append((len(self.items), place))
             self.items.append((item_id, len(words)))
         self.codes = {seed: np.array(sorted(found), np.uint64) for seed, found in self.groups.items()}
@@ -131,7 +200,13 @@ class Benchmark:
                     places[number].append((at, place))
             for number, found in places.items():
                 item_id, size = self.items[number]
-                lengths = [length for _, _, length in tile(found, seed)]
+                if number in self.repeating:
+                    tiles = tile_repeated(covered_part(ids, np.array([at for at, _ in found]), seed), self.repeating[number], seed)
+                else:
+                    tiles = tile(found, seed)
+                lengths = [length for _, _, length in tiles]
+                if not lengths:  # hashes that agree by chance
+                    continue
                 out.append((item_id, size, sum(lengths), len(lengths), max(lengths)))
         return out
 
@@ -158,9 +233,10 @@ def _held(phrases: DataFrame, held_words: int) -> list[tuple] | None:
 def _joined(docs: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
     """Matches for benchmarks of any size, with ``own``, the MD5 digest of the document's text.
 
-    Seeds of both sides meet by a join, tiles follow for each pair of texts.
+    Seeds of both sides meet by a join, tiles follow for each pair of texts.  Items in which a seed repeats meet by distinct seeds: their pairs carry the words of
+    the document's seeds, so that places are never multiplied.
     """
-    fields = {"own": "string", "seed": "int", "code": "long", "place": "int"}
+    fields = {"own": "string", "seed": "int", "code": "long", "place": "int", "repeats": "boolean", "words": "binary"}
 
     def seeds_of(lengths: list[int]):
         def step(batch: Columns) -> Columns:
@@ -168,12 +244,15 @@ def _joined(docs: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
             for own, text in zip(batch["own"], batch["text"]):
                 words = tokens(text)
                 codes = np.array([xxhash.xxh64_intdigest(word) for word in words], np.uint64)
+                data = codes.tobytes()
                 for seed in lengths or [min(least, len(words))]:
                     rolled = rolling(codes, seed).view(np.int64).tolist()
                     out["own"] += [own] * len(rolled)
                     out["seed"] += [seed] * len(rolled)
                     out["code"] += rolled
                     out["place"] += range(len(rolled))
+                    out["repeats"] += [len(set(rolled)) < len(rolled)] * len(rolled)
+                    out["words"] += [data[8 * at:8 * (at + seed)] for at in range(len(rolled))] if lengths else [None] * len(rolled)
             return out
 
         return lambda: step
@@ -182,19 +261,36 @@ def _joined(docs: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
     item_seeds = cut_lineage(map_columns(items.select("own", "text"), fields, seeds_of([])))
     lengths = sorted(row.seed for row in item_seeds.select("seed").distinct().collect())
     rows = docs.select("doc_id", F.md5("text").alias("own"), "text")
-    doc_seeds = map_columns(rows.select("own", "text"), fields, seeds_of(lengths or [least]))
-    pairs = doc_seeds.join(
-        item_seeds.select(F.col("own").alias("item"), "seed", "code", F.col("place").alias("item_place")), ["seed", "code"]
-    ).select("own", "item", "seed", "place", "item_place").distinct()  # copies of a text leave one set of places
+    doc_seeds = map_columns(rows.select("own", "text"), fields, seeds_of(lengths or [least])).drop("repeats")
+    single = item_seeds.filter("not repeats").select(F.col("own").alias("item"), "seed", "code", F.col("place").alias("item_place"))
+    pairs = doc_seeds.drop("words").join(single, ["seed", "code"]).select("own", "item", "seed", "place", "item_place").distinct()  # copies of a text leave one set of places
 
-    def tiles(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        found = tile(list(zip(group.place.tolist(), group.item_place.tolist())), int(first.seed))
+    def counted(own: str, item: str, found: list[tuple[int, int, int]]) -> pd.DataFrame:
         lengths = [length for _, _, length in found]
-        return pd.DataFrame([[first.own, first["item"], sum(lengths), len(lengths), max(lengths)]],
-                            columns=["own", "item", "covered_words", "tiles", "longest_tile"])
+        return pd.DataFrame([[own, item, sum(lengths), len(lengths), max(lengths)]] if lengths else [], columns=["own", "item", "covered_words", "tiles", "longest_tile"])
 
-    found = pairs.groupBy("own", "item").applyInPandas(tiles, "own string, item string, covered_words int, tiles int, longest_tile int")
+    def tiles(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[0]
+        return counted(first.own, first["item"], tile(list(zip(group.place.tolist(), group.item_place.tolist())), int(first.seed)))
+
+    kinds = "own string, item string, covered_words int, tiles int, longest_tile int"
+    found = pairs.groupBy("own", "item").applyInPandas(tiles, kinds)
+
+    repeating = item_seeds.filter("repeats").select(F.col("own").alias("item"), "seed", "code").distinct()
+    met = doc_seeds.join(repeating, ["seed", "code"]).groupBy("own", "item", "seed").agg(F.collect_set(F.struct("place", "words")).alias("windows"))
+    texts = items.select(F.col("own").alias("item"), F.col("text").alias("phrase"))
+
+    def repeated_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, item, seed, windows, phrase in zip(*(batch[c] for c in ("own", "item", "seed", "windows", "phrase"))):
+                starts = np.array([w["place"] for w in windows])
+                ids = np.zeros(int(starts.max()) + seed, np.uint64)
+                for w in windows:
+                    ids[w["place"]:w["place"] + seed] = np.frombuffer(w["words"], np.uint64)
+                target = np.array([xxhash.xxh64_intdigest(word) for word in phrase.split(" ")], np.uint64)
+                yield counted(own, item, tile_repeated(covered_part(ids, starts, seed), target, seed))
+
+    found = found.unionByName(met.join(texts, "item").mapInPandas(repeated_tiles, kinds))
     return (
         rows.select("doc_id", "own").join(found, "own")
         .join(items.select(F.col("own").alias("item"), "item_id", "item_words"), "item").select("own", *FIELDS)

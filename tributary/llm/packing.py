@@ -9,11 +9,15 @@ one list of open sequences for each gap, so any number of groups runs side by si
 repeated alike.  Sequences that a group leaves unfilled are taken apart and packed again with those of other groups, in
 ever fewer groups, until one group holds all that is left.
 
-A null text is an empty document (its end id alone).  Repeated rows are packed each.  Extra columns are ignored.
+A null text is an empty document (its end id alone).  Repeated rows are packed each, ties in length go by id and piece.  ``tokenise`` ignores extra
+columns; ``pack`` keeps them, but for ``sequence_id`` and ``offset``, which it replaces.  An empty table gives no rows; very long texts are cut
+into pieces of a sequence's length, of which one group holds about ``GROUP_PIECES``.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +33,8 @@ END_ID = 0
 #: Pieces that one group packs, and words whose ids a task remembers.
 GROUP_PIECES = 16_384
 CACHED_WORDS = 500_000
+#: A column of :func:`pack` while it works: the fill of a piece's sequence.
+FILL = "__fill"
 
 
 class WordIds(dict):
@@ -41,7 +47,7 @@ class WordIds(dict):
     def __init__(self, tokenizer_file: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # special strings are taken out of the text before
         self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
@@ -58,17 +64,36 @@ class WordIds(dict):
         return ids
 
 
+class TextIds:
+    """Ids of a text as the tokenizer gives them by default: strings of special tokens, searched in the text as it stands, are one id each."""
+
+    def __init__(self, tokenizer_file: str):
+        self.words = WordIds(tokenizer_file)
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.words.tokenizer.get_added_tokens_decoder().items()}
+        self.pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+
+    def __call__(self, text: str | None) -> bytes:
+        parts, at = [], 0
+        for found in self.pattern.finditer(text or ""):
+            parts += [self._plain(text[at:found.start()]), self.special[found[0]]]
+            at = found.end()
+        return b"".join([*parts, self._plain((text or "")[at:])])
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.encode().lower().split()))
+
+
 def tokenise(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian 32-bit) of each piece of every document."""
     end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
 
     def start():
-        words = WordIds(tokenizer_file)
+        ids_of = TextIds(tokenizer_file)
 
         def step(batch: Columns) -> Columns:
             out: Columns = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = b"".join(map(words.__getitem__, (text or "").encode().lower().split())) + end
+                ids = ids_of(text) + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at:at + width]
                     out["doc_id"].append(doc_id)
@@ -118,7 +143,7 @@ def _group_packer(names: list[str], capacity: int, round_number: int):
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).select(names)
         numbers, offsets, fills = place(group.column("length").to_numpy(), capacity)
         numbers_of = (round_number << 56) + (key[0].as_py() << 32) + numbers
-        for name, values in (("sequence_id", numbers_of), ("offset", offsets), ("fill", fills[numbers])):
+        for name, values in (("sequence_id", numbers_of), ("offset", offsets), (FILL, fills[numbers])):
             group = group.append_column(name, pa.array(values))
         return group
 
@@ -129,20 +154,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     """``pieces`` (doc_id, piece, length and any other columns) with sequence_id and offset.
 
     Every round packs what the round before left in unfilled sequences, as long as that halves the groups; so a
-    group never holds more than about ``group_pieces`` pieces.
+    group never holds more than about ``group_pieces`` pieces.  The last round's unfilled sequences stay as they are: those of the groups that it had.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long, fill long"
+    pieces = pieces.drop("sequence_id", "offset", FILL)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long, {FILL} long"
     names = pieces.columns
+    key = "__group" + "_" * sum(name.startswith("__group") for name in names)
     waiting, done, round_number = cut_lineage(pieces), None, 0
     groups = max(1, -(-waiting.count() // group_pieces))
     while True:
-        share = F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_number)), F.lit(groups)).alias("__group")
+        share = F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_number)), F.lit(groups)).alias(key)
         packed = cut_lineage(waiting.groupBy(share).applyInArrow(_group_packer(names, capacity, round_number), schema))
-        waiting = packed.filter(F.col("fill") < capacity)
+        waiting = packed.filter(F.col(FILL) < capacity)
         fewer = max(1, -(-waiting.count() // group_pieces))
         if 2 * fewer > groups:
-            return (packed if done is None else done.unionByName(packed)).drop("fill")
-        filled = packed.filter(F.col("fill") >= capacity)
+            return (packed if done is None else done.unionByName(packed)).drop(FILL)
+        filled = packed.filter(F.col(FILL) >= capacity)
         done = filled if done is None else done.unionByName(filled)
         waiting, groups, round_number = waiting.select(*names), fewer, round_number + 1
 
