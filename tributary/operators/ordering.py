@@ -157,14 +157,14 @@ def quantiles(
     return hits.groupBy(*keys).agg(*parts)
 
 
-def distribution(counts: DataFrame, key: str, value: str) -> DataFrame:
+def distribution(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, median, std, min, max, p90, p99 and zero count per group, from value counts.
 
     Deviations are taken from the mean in a second pass over the distinct values,
     so large means lose no digits.
     """
-    number = F.col(value).cast("double")
-    totals = counts.groupBy(key).agg(
+    keys, number = list(keys), F.col(value).cast("double")
+    totals = counts.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         (F.sum(number * F.col("n")) / F.sum("n")).alias("mean"),
         F.min(number).alias("min"),
@@ -172,16 +172,16 @@ def distribution(counts: DataFrame, key: str, value: str) -> DataFrame:
         F.coalesce(F.sum(F.when(number == 0, F.col("n"))), F.lit(0)).alias("zero_count"),
     )
     spread = (
-        counts.join(totals.select(key, "mean"), key)
-        .groupBy(key)
+        counts.join(totals.select(*keys, "mean"), keys)
+        .groupBy(*keys)
         .agg(F.sum(F.col("n") * (number - F.col("mean")) * (number - F.col("mean"))).alias("_m2"))
     )
-    marks = quantiles(counts, [key], value, {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    marks = quantiles(counts, keys, value, {"median": 0.5, "p90": 0.9, "p99": 0.99})
     return (
-        totals.join(spread, key)
-        .join(marks, key)
+        totals.join(spread, keys)
+        .join(marks, keys)
         .select(
-            key,
+            *keys,
             "n",
             F.round("mean", 3).alias("mean"),
             F.round("median", 6).alias("median"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.operators.ordering import POOLED, distribution, quantiles, value_counts, with_pool
+from tributary.session import cut_lineage
 
 
 def share(part: Column, whole: Column, digits: int = 4) -> Column:
@@ -30,7 +31,10 @@ def _as_int(flag: Column) -> Column:
 
 def merge_status(pull_requests: DataFrame) -> DataFrame:
     """Merged, not merged, total and merge rate."""
-    sums = pooled_sums(pull_requests, "repo", merged=_as_int(F.col("is_merged")), total=F.lit(1))
+    return merge_status_of(pooled_sums(pull_requests, "repo", merged=_as_int(F.col("is_merged")), total=F.lit(1)))
+
+
+def merge_status_of(sums: DataFrame) -> DataFrame:
     return sums.select(
         "repo",
         "merged",
@@ -42,7 +46,10 @@ def merge_status(pull_requests: DataFrame) -> DataFrame:
 
 def authorship_mix(pull_requests: DataFrame) -> DataFrame:
     """AI-authored and human-authored counts and the AI share."""
-    sums = pooled_sums(pull_requests, "repo", ai_authored=_as_int(F.col("is_ai_authored")), total=F.lit(1))
+    return authorship_mix_of(pooled_sums(pull_requests, "repo", ai_authored=_as_int(F.col("is_ai_authored")), total=F.lit(1)))
+
+
+def authorship_mix_of(sums: DataFrame) -> DataFrame:
     return sums.select(
         "repo",
         "ai_authored",
@@ -54,7 +61,10 @@ def authorship_mix(pull_requests: DataFrame) -> DataFrame:
 
 def ai_review_presence(pull_requests: DataFrame) -> DataFrame:
     """Pull requests with and without an AI reviewer."""
-    sums = pooled_sums(pull_requests, "repo", ai_reviewed=_as_int(F.col("is_ai_reviewed")), total=F.lit(1))
+    return ai_review_presence_of(pooled_sums(pull_requests, "repo", ai_reviewed=_as_int(F.col("is_ai_reviewed")), total=F.lit(1)))
+
+
+def ai_review_presence_of(sums: DataFrame) -> DataFrame:
     return sums.select(
         "repo",
         "ai_reviewed",
@@ -67,11 +77,14 @@ def ai_review_presence(pull_requests: DataFrame) -> DataFrame:
 def merge_rate_by_authorship(pull_requests: DataFrame) -> DataFrame:
     """Size and merge rate of the AI-authored and the human-authored group; an empty group has no rate."""
     ai, merged = F.col("is_ai_authored"), F.col("is_merged")
-    sums = pooled_sums(
+    return merge_rate_by_authorship_of(pooled_sums(
         pull_requests, "repo",
         n_ai=_as_int(ai), merged_ai=_as_int(ai & merged),
         n_human=_as_int(~ai), merged_human=_as_int(~ai & merged),
-    )
+    ))
+
+
+def merge_rate_by_authorship_of(sums: DataFrame) -> DataFrame:
     return sums.select(
         "repo",
         "n_ai",
@@ -107,8 +120,12 @@ def reviewers_per_pr(pull_requests: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def describe_by_repo(per_pr: DataFrame, value: str) -> DataFrame:
     """Distribution of a per-request value, per repository and pooled."""
-    counts = with_pool(value_counts(per_pr, ["repo"], value), "repo", value)
-    return distribution(counts, "repo", value)
+    return distribution(pooled_value_counts(per_pr, value), ["repo"], value)
+
+
+def pooled_value_counts(per_pr: DataFrame, value: str) -> DataFrame:
+    """``repo, value, n``, per repository and pooled, written once: several branches read it, the input is read for it alone."""
+    return cut_lineage(with_pool(value_counts(per_pr, ["repo"], value), "repo", value))
 
 
 def clipped_histogram(
@@ -120,8 +137,7 @@ def clipped_histogram(
     bin includes its upper edge; a panel with a single value spreads half a unit
     to each side.  Empty bins are left out.
     """
-    counts = value_counts(per_pr, ["repo"], value)
-    both = with_pool(counts, "repo", value)
+    both = pooled_value_counts(per_pr, value)
     clip = quantiles(both.where(F.col("repo") == POOLED), ["repo"], value, {"q": clip_at}).select(
         F.greatest(F.col("q"), F.lit(1.0)).alias("clip")
     )
@@ -155,9 +171,14 @@ def label_counts(pull_requests: DataFrame) -> DataFrame:
 
 def top_labels(pull_requests: DataFrame, pooled_k: int = 20, repo_k: int = 8) -> DataFrame:
     """Most frequent labels, ties broken by label text, with rank."""
+    return most_frequent(label_counts(pull_requests), pooled_k, repo_k)
+
+
+def most_frequent(counts: DataFrame, pooled_k: int = 20, repo_k: int = 8) -> DataFrame:
+    """The first labels of ``repo, label, n`` in each repository, with rank."""
     by_count = Window.partitionBy("repo").orderBy(F.desc("n"), "label")
     limit = max(pooled_k, repo_k)
-    ranked = label_counts(pull_requests).withColumn("rank", F.row_number().over(by_count).cast("long"))
+    ranked = counts.withColumn("rank", F.row_number().over(by_count).cast("long"))
     return ranked.where(F.col("rank") <= limit).where(
         F.col("rank") <= F.when(F.col("repo") == POOLED, pooled_k).otherwise(repo_k)
     )
