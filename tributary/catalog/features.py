@@ -308,3 +308,15 @@ def paths(files_changed):
     return files_changed.groupBy(
         "filename", text.directory(name).alias("directory"), text.base_name(name).alias("base_name")
     ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("UDF3_generated_rows", "pull_requests", sql="""
+    SELECT id, CAST(ord - 1 AS INTEGER) AS ord, label, CAST(length(label) AS INTEGER) AS chars FROM (
+        SELECT id, unnest(labels) AS label, generate_subscripts(labels, 1) AS ord FROM pull_requests WHERE len(labels) > 0
+        UNION ALL SELECT id, NULL, NULL FROM pull_requests WHERE labels IS NULL OR len(labels) = 0)""")
+def generated_rows(pull_requests):
+    """One row to many by a lateral join with a generator; a request without labels keeps a row."""
+    spark = pull_requests.sparkSession
+    rows = pull_requests.select("id", "labels").lateralJoin(
+        spark.tvf.posexplode_outer(F.col("labels").outer()).toDF("ord", "label"))
+    return rows.select("id", "ord", "label", F.length("label").alias("chars"))

@@ -23,8 +23,20 @@ def draw_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+#: Up to this k Spark prunes inside the map tasks by itself, whatever the session sets.
+PRUNED_BY_SPARK = 1000
+PARTS = 64
+
+
 def first_k(frame: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str = "position") -> DataFrame:
-    """The first ``k`` rows of each group with their position."""
+    """The first ``k`` rows of each group with their position.
+
+    For a large k the rows of a group are cut into parts by hash, and only the first k of each part meet.
+    """
+    if k > PRUNED_BY_SPARK:
+        part = F.pmod(F.xxhash64(*[c for c, kind in frame.dtypes if not kind.startswith("map")]), F.lit(PARTS))
+        inside = Window.partitionBy(*keys, "__part").orderBy(*order)
+        frame = frame.withColumn("__part", part).withColumn("__nth", F.row_number().over(inside)).where(F.col("__nth") <= k).drop("__part", "__nth")
     window = Window.partitionBy(*keys).orderBy(*order)
     return frame.withColumn(name, F.row_number().over(window).cast("long")).where(F.col(name) <= k)
 

@@ -275,19 +275,21 @@ def _dependencies(name: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}", VIEWS[name])))
 
 
+SPREAD_SPLITS = 16
 TEXT_TABLES = ("lineitem", "orders", "events", "documents", "conversations")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table.
 
-    A file with fewer splits than the session has cores would be parsed by a few
-    tasks only, so such a small table is spread first; a large one is read as it is.
+    A table of fewer splits than the session has cores would be parsed by a few tasks only, so such a small table is
+    spread first.  Tables of ``SPREAD_SPLITS`` splits or more are read as they are, on any number of cores: so what is shuffled
+    for it is bounded.
     """
     table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
+    if name in TEXT_TABLES and table.rdd.getNumPartitions() < min(cores, SPREAD_SPLITS):
+        return table.repartition(min(cores, SPREAD_SPLITS))
     return table
 
 
