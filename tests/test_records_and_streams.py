@@ -113,3 +113,24 @@ def test_a_file_that_is_no_record_costs_itself_only(spark, tmp_path):
     good, bad = records.read_documents(spark, str(tmp_path / "in"))
     assert [r.number for r in good.collect()] == [7] and records.build_tables(good)["commits"].count() == 2
     assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in bad.collect()) == [("bad.json", "not a record"), ("empty.json", "empty"), ("other.json", "no pull request")]
+
+
+def test_late_and_repeated_rows_have_a_table_and_state_stays_small(spark, tmp_path):
+    folder, source = str(tmp_path / "out"), tmp_path / "in"
+    schema = "k long, at timestamp, v string"
+    batches = [
+        [(1, "2024-01-01 10:00:00", "a"), (1, "2024-01-01 10:00:00", "a"), (2, "2024-01-01 10:05:00", "b"), (3, None, "c")],
+        [(1, "2024-01-01 10:00:00", "a"), (4, "2024-01-01 10:20:00", "d"), (2, "2024-01-01 10:06:00", "again")],
+        [(5, "2024-01-01 10:09:00", "old"), (2, "2024-01-01 10:05:00", "b"), (6, "2024-01-01 10:11:00", "e")],
+    ]
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, "k long, at string, v string").selectExpr("k", "to_timestamp(at) AS at", "v").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        jobs.accept_on_time(stream, ["k"], "at", 600, folder, str(tmp_path / "progress")).awaitTermination()
+        seen.append(sorted((r.k, r.v) for r in spark.read.parquet(f"{folder}/accepted").collect()))
+    assert seen == [[(1, "a"), (2, "b")], [(1, "a"), (2, "b"), (4, "d")], [(1, "a"), (2, "b"), (4, "d"), (6, "e")]]
+    reasons = sorted((r.k, r.reason) for r in spark.read.parquet(f"{folder}/rejected").collect())
+    assert reasons == [(1, "repeated"), (1, "repeated"), (2, "late"), (2, "repeated"), (3, "no time"), (5, "late")]
+    state = {n: sorted(r.k for r in spark.read.parquet(f"{folder}/state/keys/{n}").collect()) for n in range(3)}
+    assert state == {0: [1, 2], 1: [4], 2: [4, 6]}  # keys of the last ten minutes

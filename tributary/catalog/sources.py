@@ -199,6 +199,44 @@ def streamed_distinct(spark: SparkSession, sf_dir: str):
 register("STR2_distinct_within_watermark", [], "SELECT event_id, event_type FROM events", streamed_distinct)
 
 
+DELIVERIES = 6
+SLOT_SQL = """WITH span AS (SELECT min(epoch_s) AS lo, max(epoch_s) AS hi FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s FROM events)),
+    placed AS (SELECT event_id, (CAST(floor(epoch(ts)) AS BIGINT) - lo) * 6 // (hi - lo + 1) AS slot FROM events, span)"""
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """Events in six deliveries by time, and the delay that is allowed, one and a half of them.
+
+    Some events come twice in one delivery, some again in the next one, and some only three deliveries late.
+    """
+    events = corpus_view(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    at = F.unix_timestamp("ts")
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    slot = F.floor((at - low) * DELIVERIES / (high - low + 1)).cast("int")
+    once = F.when(F.col("event_id") % 97 == 0, F.array(slot + 3)).when(F.col("event_id") % 10 == 0, F.array(slot, slot)).when(
+        F.col("event_id") % 10 == 1, F.array(slot, slot + 1)).otherwise(F.array(slot))
+    sent = events.withColumn("delivery", F.explode(once)).where(F.col("delivery") < DELIVERIES)
+    path = scratch_path(spark, "deliveries")
+    for number in range(DELIVERIES):  # a file each, in the order of arrival
+        sent.where(F.col("delivery") == number).drop("delivery").coalesce(1).write.mode("append").parquet(path)
+    return path, (high - low + 1) * 3 // (2 * DELIVERIES)
+
+
+def late_rows(spark: SparkSession, sf_dir: str):
+    path, delay = deliveries(spark, sf_dir)
+    folder = scratch_path(spark, "on-time")
+    stream = spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.accept_on_time(stream, ["event_id"], "ts", delay, folder, scratch_path(spark, "progress")).awaitTermination()
+    accepted = spark.read.parquet(f"{folder}/accepted").select("event_id", F.lit("accepted").alias("outcome"))
+    return accepted.unionByName(spark.read.parquet(f"{folder}/rejected").select("event_id", F.col("reason").alias("outcome")))
+
+
+register("STR2_late_and_repeated", [], f"""{SLOT_SQL}
+    SELECT event_id, 'accepted' AS outcome FROM placed WHERE event_id % 97 <> 0
+    UNION ALL SELECT event_id, 'late' FROM placed WHERE event_id % 97 = 0 AND slot + 3 < {DELIVERIES}
+    UNION ALL SELECT event_id, 'repeated' FROM placed WHERE event_id % 97 <> 0 AND (event_id % 10 = 0 OR event_id % 10 = 1 AND slot + 1 < {DELIVERIES})""", late_rows)
+
+
 def streamed_resume(spark: SparkSession, sf_dir: str):
     path, output = scratch_path(spark, "wanted"), scratch_path(spark, "answered")
     cells = corpus_view(spark, sf_dir, "grid_cells").select(*replay.CELL)

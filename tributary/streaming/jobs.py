@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,6 +52,42 @@ def distinct_records(stream: DataFrame, keys: list[str], clock: str, delay: str
     return stream.withWatermark(clock, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def accept_on_time(stream: DataFrame, keys: list[str], clock: str, delay_seconds: int, folder: str, checkpoint: str) -> StreamingQuery:
+    """Each key once, and every row that is not taken in a table of its own.
+
+    Below ``folder``: ``accepted``, and ``rejected`` with the ``reason``: ``late`` (older than the newest time of earlier batches less the
+    delay), ``repeated`` or ``no time``.  What is kept between batches is ``state``: the newest time, and the keys accepted within the delay; older
+    ones cannot come back but as late rows.  Each batch writes tables of its own number, and reads those of the one before, so a replayed batch gives the same.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in batch.select(*keys, clock).schema)}"
+        earlier = batch_id > 0
+        newest = spark.read.parquet(f"{folder}/state/clock/{batch_id - 1}").first()[0] if earlier else None
+        recent = spark.read.parquet(f"{folder}/state/keys/{batch_id - 1}") if earlier else spark.createDataFrame([], schema)
+        batch.persist()
+        try:
+            late = F.lit(False) if newest is None else F.col(clock).cast("timestamp") < F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_seconds))
+            judged = batch.withColumn("reason", F.when(F.col(clock).isNull(), "no time").when(late, "late"))
+            # copies of a key share an order, whichever task reads them first
+            nth = F.row_number().over(Window.partitionBy(*keys).orderBy(clock, F.xxhash64(*batch.columns)))
+            timely = judged.where("reason IS NULL").drop("reason").withColumn("_nth", nth).join(recent.select(*keys, F.lit(True).alias("_seen")).distinct(), keys, "left")
+            fresh = F.col("_seen").isNull() & (F.col("_nth") == 1)
+            timely.where(fresh).select(batch.columns).write.mode("overwrite").parquet(f"{folder}/accepted/batch_id={batch_id}")
+            rejected = judged.where("reason IS NOT NULL").unionByName(timely.where(~fresh).select(*batch.columns, F.lit("repeated").alias("reason")))
+            rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch_id={batch_id}")
+            taken = spark.read.parquet(f"{folder}/accepted/batch_id={batch_id}").select(*keys, clock)
+            now = taken.agg(F.greatest(F.max(F.col(clock).cast("timestamp")), F.lit(newest).cast("timestamp")).alias("newest"))
+            now.write.mode("overwrite").parquet(f"{folder}/state/clock/{batch_id}")
+            newest = spark.read.parquet(f"{folder}/state/clock/{batch_id}").first()[0]
+            edge = F.lit(newest).cast("timestamp") - F.make_dt_interval(secs=F.lit(delay_seconds))
+            recent.select(*keys, clock).unionByName(taken).where(F.col(clock).cast("timestamp") >= edge).write.mode("overwrite").parquet(f"{folder}/state/keys/{batch_id}")
+        finally:
+            batch.unpersist()
+
+    return _start(stream, each, checkpoint)
+
+
 def score_diffs(stream: DataFrame, forests: dict[str, Forest], output: str, refused: str, checkpoint: str) -> StreamingQuery:
     """Score arriving diffs; diffs without files go to the refused table."""
     from tributary.operators.diffs import unparseable
