@@ -15,7 +15,8 @@ Beside it stands the plain smoothed unigram score (``base_score``) from exact co
 1 / HELD_WORDS, so at most that many) are held by every task; each text's other words meet their counts by a join.
 
 A null or empty text is its end token alone.  A null id is a training text.  Repeated rows are scored, and
-counted, each.  Extra columns are ignored.
+counted, each.  Extra columns are ignored.  An empty table gives no rows, and a model of no text scores all the same; texts of any length
+are read whole.  Words of equal count share a level.
 """
 
 from __future__ import annotations

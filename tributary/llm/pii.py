@@ -8,7 +8,7 @@ over kind, length, cue, neighbours and digits, which decides which proposed span
 
 DataFrame functions only; rows stay where they are, and only counts by vote pattern or feature value (bounded by
 the labelers and features) reach the driver.  A null text counts as empty.  Repeated rows are reported, and counted, each.
-Extra columns are ignored.
+Extra columns are ignored.  An empty table gives no rows; texts of any length are read whole; spans that start together are ordered by kind.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ The score of a text with features x is  w0 + <w, x> + 1/2 sum_f [(sum_i v_if x_i
 which takes time linear in the features.  The labels, language, source and id are never features.
 
 A null text counts as empty; an empty text is scored by its (zero) statistics.  Repeated rows are scored each.
-Without any usable label every score is 0.5.  Extra columns are ignored by ``score`` and kept by ``keep_good``.
+Without any usable label every score is 0.5.  Extra columns are ignored by ``score`` and kept by ``keep_good``.  An empty table gives no
+rows; texts of any length are read whole; a score of exactly 0.5 counts as good.
 """
 
 from __future__ import annotations

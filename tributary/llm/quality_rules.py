@@ -8,7 +8,8 @@ and languages into the whole.  A group of under ``LEAST_ROWS`` documents uses th
 else of the whole.
 
 Null language and source are groups of their own.  A null or empty text has zero counts, fails the base rules
-and enters no sketch.  Repeated rows count each.  Extra columns are ignored.
+and enters no sketch.  Repeated rows count each.  Extra columns are ignored.  An empty table gives no rows; texts of any length are
+counted whole; a rate that equals its fence passes.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ paths hold it, and joins the findings back to all paths.  Copies are dropped ins
 moves, texts move compressed, and findings (one row for a blob) join versions by address.
 
 A null text is scanned as an empty one.  Repeated versions are reported each.  Extra columns are ignored by
-``scan`` and kept by ``mask``.
+``scan`` and kept by ``mask``.  An empty table gives no rows and leaves the ledger as it is; texts of any length are scanned whole; spans that
+start together are ordered by kind.
 """
 
 from __future__ import annotations

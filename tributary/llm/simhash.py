@@ -14,7 +14,8 @@ Equal fingerprints are one class from the start.  Classes that meet in a table a
 size and leave a spanning star, not all their pairs; components follow from these by joins.
 
 A null or empty text has fingerprint zero and links like any other.  Rows with a null id take part in links
-but never name a component, unless no row of it has an id (component null).  Repeated rows are returned each.
+but never name a component, unless no row of it has an id (component null).  Repeated rows are returned each; an empty table gives no rows.
+Texts of any length are read whole.  Extra columns are ignored.  Of rows that tie for the least id any names the component, as its name is that id.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ the two sets.  How classes meet depends on their size:
 Blocks, stars and components are those of :mod:`simhash`.
 
 A null or empty text, or one without words, has an empty set and is a copy of any other such text.  A text of fewer than five
-words is one shingle.  Rows with a null id take part in links but never name a component.  Repeated rows are returned each.
+words is one shingle.  Rows with a null id take part in links but never name a component.  Repeated rows are returned each, and of
+rows that repeat an id ``keep_one`` keeps one.  ``keep_one`` keeps all columns, whatever their names; an empty table gives no rows; texts of any
+length are read whole.
 """
 
 from __future__ import annotations

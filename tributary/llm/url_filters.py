@@ -7,7 +7,7 @@ first: of those that fit, the longest decides; pattern rules decide for URLs tha
 
 The rules are a parameter of the call, a list in the driver that every task holds.  A null URL, or one without
 ``://``, has an empty host and path, fits no rule and is allowed.  Repeated rows are judged each; extra columns
-are ignored.
+are ignored; an empty table gives no rows; URLs of any length are read whole.
 """
 
 from __future__ import annotations
