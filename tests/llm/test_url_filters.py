@@ -65,3 +65,35 @@ def test_sql(spark):
     result = connection.execute(ORACLES["op6_url_filters"])
     names = [d[0] for d in result.description]
     assert sorted(result.fetchall()) == sorted(rows(frame.select(*names)))
+
+
+def test_thousands_of_rules_change_no_verdict_and_few_run():
+    import random
+
+    chance = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    rules = u.HOST_RULES + [u.phrase_rule(chance.choice(["block", "allow"]), "-".join(chance.sample(words, chance.randint(1, 3)))) for _ in range(5000)]
+    urls = [f"https://{'-'.join(chance.choices(words, k=3))}.{chance.choice(['org', 'net', 'com'])}/{'/'.join(chance.choices(words, k=4))}" for _ in range(150)]
+    frequency = dict(u.Counter(t for url in urls for part in u.parts(url) for t in set(u.TOKEN.findall(part))))
+    index = u.Index(rules, frequency)
+
+    class All(u.Index):
+        def candidates(self, host, path):
+            return [filed for found in self.by_token.values() for filed in found] + self.always
+
+    every, run = All(rules, frequency), []
+    for url in urls:
+        host, path = u.parts(url)
+        assert index.decide(host, path) == every.decide(host, path)
+        run.append(len(index.candidates(host, path)))
+    assert sum(run) / len(run) < 60  # of more than 5000
+
+
+def test_the_rule_file():
+    names = [rule.name for rule in u.PHRASE_RULES]
+    assert len(names) == len(set(names)) > 150 and all(rule.literals for rule in u.PHRASE_RULES)
+    assert u.phrases_of(["# kind", "", " a-b ", "a-b", "c"]) == ["a-b", "c"]
+    index = u.Index(u.RULES, {})
+    for url, verdict in [("http://free-bets.x.org/1", "block"), ("http://x.org/adult-cams/1", "block"), ("http://x.org/adult-education/", "allow"), ("http://x.org/essays", "allow"),
+                         ("http://pokerface.org/", "allow"), ("http://x.org/online-poker.html", "block")]:
+        assert index.decide(*u.parts(url))[1] == verdict, url

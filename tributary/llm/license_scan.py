@@ -7,7 +7,7 @@ first word begins no known text, and could not be replaced, is passed over befor
 
 DataFrame functions only.  A null or empty text, and a unit whose canonical form is empty, match nothing.
 Repeated rows and repeated units are reported each.  Extra columns are ignored.  An empty table gives no rows; texts of any length are read
-whole; a unit has one digest, so no two known texts tie for it.
+whole; of known texts with one canonical form the least name is reported.
 """
 
 from __future__ import annotations

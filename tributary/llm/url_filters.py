@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,15 +52,19 @@ def phrase_rule(verdict: str, phrase: str) -> Rule:
     return Rule(verdict, phrase, rf"(?:^|[./_-]){re.escape(phrase)}(?:[./_-]|$)", tuple(TOKEN.findall(phrase)))
 
 
-# The host rules, and phrases of pages that sell rather than tell.
+# The host rules.  The phrases are in url_rules.txt.
 HOST_RULES = [
     host_rule("allow", "com/"), host_rule("block", "example.com/en/"), host_rule("allow", "www.example.com/en/"),
     host_rule("block", "net/es/"), host_rule("block", "net/fr/"),
 ]
-PHRASE_RULES = [phrase_rule("block", phrase) for phrase in (
-    "cheap-pills", "online-casino", "free-casino", "payday-loan", "payday-loans", "replica-watches", "free-followers", "adult-cams",
-    "porn", "xxx", "casino", "viagra", "sportsbook", "warez", "torrents",
-)]
+
+
+def phrases_of(lines: Iterable[str]) -> list[str]:
+    """Phrases, one a line; blank lines and those that begin with ``#`` are passed over, repeated ones kept once."""
+    return list(dict.fromkeys(line.strip() for line in lines if line.strip() and not line.startswith("#")))
+
+
+PHRASE_RULES = [phrase_rule("block", phrase) for phrase in phrases_of(Path(__file__).with_name("url_rules.txt").read_text().splitlines())]
 RULES = HOST_RULES + PHRASE_RULES
 
 
