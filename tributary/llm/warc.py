@@ -237,6 +237,11 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     return captures.sparkSession.read.parquet(path)
 
 
+def _tasks(frame: DataFrame) -> int:
+    """Tasks for reading: a row is small beside what it makes a task read, so few bytes must not mean few tasks."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _lines(files: fs.FileSystem, path: str, offset: int, length: int) -> list[list]:
     """Lines of a block or directory, read by its range."""
     with files.open_input_file(path) as source:
@@ -291,7 +296,7 @@ def lookup(wanted: DataFrame, folder: str, index_files: DataFrame, with_page: bo
     """
     held = wanted.sparkSession.sparkContext.broadcast([tuple(row) for row in index_files.collect()])
     names = ["key", "page_id"] if with_page else ["key"]
-    ordered = wanted.withColumn("key", url_key(F.col("url"))).select(*names).distinct().repartitionByRange(*names).sortWithinPartitions(*names)
+    ordered = wanted.withColumn("key", url_key(F.col("url"))).select(*names).distinct().repartitionByRange(_tasks(wanted), *names).sortWithinPartitions(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(folder, held.value)
@@ -319,7 +324,7 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
     if payloads:
         fields += ", payload binary"
     schema = pa.schema([(name, _KINDS[kind]) for name, kind in (part.split() for part in fields.split(", "))])
-    ordered = captures.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    ordered = captures.select("archive", "offset", "length").repartitionByRange(_tasks(captures), "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = open_folder(folder)
