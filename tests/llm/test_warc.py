@@ -54,6 +54,21 @@ def test_whole_table(spark):
     assert read_back(spark, pages, block_lines=7) == plain(rows(pages.select("page_id", "url", "html")))
 
 
+@pytest.mark.skipif(not have_tables, reason="no test tables")
+def test_sql(spark):
+    import duckdb
+    from helpers import SMALL
+
+    from tributary.llm.registry import ORACLES, QUERIES
+
+    frame = QUERIES["op13_warc_capture_index"](spark, SMALL)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{SMALL}/pages.parquet'")
+    result = connection.execute(ORACLES["op13_warc_capture_index"])
+    names = [d[0] for d in result.description]
+    assert sorted(result.fetchall(), key=str) == sorted(rows(frame.select(*names)), key=str)
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame(ODD, SCHEMA)
     for extra in (pages, pages.selectExpr("*", "'x' AS digest", "1 AS `key`", "2 AS latest", "3 AS `offset`", "4 AS archive", "5 AS repeated", "6 AS n")):

@@ -368,7 +368,15 @@ def with_payloads(records: DataFrame) -> DataFrame:
         *[c for c in records.columns if c != "payload"], F.coalesce("payload", "of_response").alias("payload"))
 
 
-@query("op13_warc_capture_index")
+SQL = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
+latest AS (SELECT *, CASE WHEN bytes >= {LEAST_REVISITED} THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS response FROM payloads)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN page_id IS DISTINCT FROM response THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to FROM latest
+"""
+
+
+@query("op13_warc_capture_index", SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages, index the archives, look every page's capture up, and read its record."""
     pages = table(spark, sf_dir, "pages")
