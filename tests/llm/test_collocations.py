@@ -89,3 +89,18 @@ def test_scores_beyond_64_bits(spark):
     frame = spark.createDataFrame(rows_in, "lang string, phrase binary, n long")
     found = co.score(frame).first()
     assert found.score == 1000000 * (big - 11) ** 2 // ((big + 7) * (big + 3))
+
+
+@pytest.mark.skipif(not have_tables, reason="no test tables")
+def test_sql(spark):
+    import duckdb
+    from helpers import SMALL
+
+    from tributary.llm.registry import ORACLES, QUERIES
+
+    frame = QUERIES["op12_phrase_collocations"](spark, SMALL)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    result = connection.execute(ORACLES["op12_phrase_collocations"])
+    names = [d[0] for d in result.description]
+    assert sorted(result.fetchall()) == sorted(rows(frame.select(*names)))

@@ -410,11 +410,11 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, most_words: int = MO
 
 SQL = """
 WITH pieces AS (
-    SELECT row_number() OVER () AS piece, lang, list_filter(regexp_split_to_array(part, '[ \\t]+'), w -> w <> '') AS words
+    SELECT row_number() OVER () AS piece, lang, list_filter(regexp_split_to_array(part, '[ \\t]+'), lambda w: w <> '') AS words
     FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS part FROM documents)),
-placed AS (SELECT piece, lang, unnest(words) AS w, generate_subscripts(words, 1) AS at FROM pieces),
-runs AS (SELECT lang, w AS w1, lead(w) OVER (PARTITION BY piece ORDER BY at) AS w2, lead(w, 2) OVER (PARTITION BY piece ORDER BY at) AS w3 FROM placed),
+placed AS (SELECT piece, lang, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM pieces),
+runs AS (SELECT lang, w AS w1, lead(w) OVER (PARTITION BY piece ORDER BY place) AS w2, lead(w, 2) OVER (PARTITION BY piece ORDER BY place) AS w3 FROM placed),
 f1 AS (SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL),
 f2 AS (SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL),
 f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
