@@ -58,6 +58,30 @@ def test_streamed_ingest_writes_each_table_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "pull_requests")).count() == 1
 
 
+def test_landed_documents_are_compressed(spark, tmp_path):
+    land(tmp_path / "in")
+    rows = records.read_records(spark, str(tmp_path / "in"))
+    records.land(rows, str(tmp_path / "landed"))
+    assert {p.name.rsplit(".", 1)[1] for p in (tmp_path / "landed").glob("part-*")} == {"gz"}
+    assert records.read_records(spark, str(tmp_path / "landed"), multi_line=False).collect() == rows.collect()
+
+
+def test_ingest_keeps_no_copy_of_the_records(spark, tmp_path, monkeypatch):
+    bare = {"owner": "o", "repo": "r", "number": 9, "pull_request": {"id": "PR3"}}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "bare.json").write_text(json.dumps(bare))
+
+    def persist(*_):
+        raise AssertionError("the nested records are kept")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", persist)
+    jobs.ingest(jobs.stream_records(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    tables = records.build_tables(records.read_records(spark, str(tmp_path / "in")))
+    for name, table in tables.items():  # tables without rows are there too
+        written = spark.read.parquet(str(tmp_path / "out" / name)).drop("batch_id")
+        assert written.columns == table.columns and written.collect() == table.collect(), name
+
+
 def test_log_skips_blank_lines_and_appends(spark, tmp_path):
     path = tmp_path / "log"
     path.mkdir()
