@@ -113,6 +113,21 @@ def test_text_metrics_equal_brute_force(spark):
         assert r["rougeL"] == pytest.approx(2 * lcs(a, b) / (len(a) + len(b)), abs=1e-4)
 
 
+def test_reference_totals_make_no_grams(spark):
+    rows = [(1, 1, ["a", "b"]), (1, 2, []), (1, 3, ["c"]), (1, 4, ["d", "e", "f", "g", "h"]), (2, 9, ["x"]), (3, 5, []), (4, 6, ["a"] * 7), (None, 8, ["q", "r"])]
+    references = spark.createDataFrame(rows, "pr_id long, comment_id long, tokens array<string>")
+    across = textmetrics._seam_grams(references, 4)
+    counted = textmetrics.reference_grams(references, 4, across).groupBy("pr_id", "n").agg(F.sum("ref_count").alias("n_ref"))
+    totals = textmetrics.reference_totals(references, 4, across)
+    assert sorted(map(str, totals.select("pr_id", "n", "n_ref").collect())) == sorted(map(str, counted.collect()))
+    assert {(r["pr_id"], r["n"]): r["n_ref"] for r in totals.where("pr_id = 1").collect()} == {(1, 1): 8, (1, 2): 7, (1, 3): 6, (1, 4): 5}
+    # hypotheses are dealt once: by pr_id, n and gram, on which they are counted and joined
+    hypotheses = spark.createDataFrame([(1, "k", "s", ["a", "b"])], "pr_id long, context_kind string, strategy string, tokens array<string>")
+    plan = textmetrics.gram_matches(hypotheses, references, 2)._jdf.queryExecution().executedPlan().toString()
+    by_cell_and_gram = [line for line in plan.splitlines() if "hashpartitioning(" in line and "strategy" in line and "gram" in line]
+    assert not by_cell_and_gram
+
+
 def test_demonstration_contract(spark):
     cells = spark.createDataFrame([("few_shot", 0)], "strategy string, n_demos long")
     with pytest.raises(PySparkException):
