@@ -69,6 +69,36 @@ def test_similar_comments_equal_brute_force(spark, busy):
         assert got[i] == [(j, round(-s, 9)) for s, _, j in ranked]
 
 
+def test_class_pairs_do_not_grow_with_the_square_of_the_classes(spark):
+    """Classes that all share a folder; one class is wider than the limit, some are copies of the query."""
+    rng = random.Random(11)
+    sets = [tuple(sorted({40, *rng.sample(range(40), 3)})) for _ in range(900)] + [tuple(range(20))]
+    sizes = [len(s) + i % 3 for i, s in enumerate(sets)]
+    past = spark.createDataFrame(
+        [("r", list(s), n, [(-(i % 7), i, i % 7)]) for i, (s, n) in enumerate(zip(sets, sizes, strict=True))],
+        "repo string, _past_folders array<long>, _b long, _members array<struct<_order:long,past_pr_id:long,chars:long>>").cache()
+    asked = sorted(set(sets[::30] + sets[-1:]))
+    queries = spark.createDataFrame([("r", list(s), len(s)) for s in asked], "repo string, busy_folders array<long>, n_folders long")
+
+    def found(n):
+        pairs = similar.class_candidates(queries, past.where(f"_members[0].past_pr_id >= {900 - n}"), 4, wide=12).collect()
+        assert len(pairs) < 0.7 * len(asked) * n
+        return pairs
+
+    pairs, fewer = found(900), found(225)
+    assert len(pairs) < 3 * len(fewer)
+    got: dict[tuple, set] = {}
+    for r in pairs:
+        got.setdefault(tuple(r["busy_folders"]), set()).update(m["past_pr_id"] for m in r["_members"])
+    for q in asked:
+        def order(i, q=q):
+            shared = len(set(q) & set(sets[i]))
+            return (-shared / (len(q) + sizes[i] - shared), -(i % 7), i)
+
+        meeting = [i for i in range(len(sets)) if set(q) & set(sets[i])]
+        assert set(sorted(meeting, key=order)[:4]) <= got[q]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
