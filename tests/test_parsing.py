@@ -128,3 +128,10 @@ def test_anchor(spark, comment, expected):
         assert got[0] == expected[0] and got[2] == "file"
     else:
         assert got == expected
+
+
+def test_lines_of_a_diff_are_numbered_once(spark):
+    """Each place that names the numbered lines would work them out again for every file."""
+    frame = spark.createDataFrame([(DIFF,)], "d string").select(diffs.file_maps(F.col("d")).alias("f"))
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert plan.count("flatten(") == 1
