@@ -29,6 +29,19 @@ def test_packing_equals_the_greedy_loop(spark):
         assert (got[key]["n_kept"], got[key]["n_blocks"]) == (len(kept), len(blocks))
 
 
+def test_a_block_is_worked_out_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def block(n):
+        calls.add(1)
+        return "x" * n
+
+    frame = spark.createDataFrame([("a", i, i + 2) for i in range(20)], "pr_id string, ord long, n int").select("pr_id", "ord", block("n").alias("block"))
+    assert contexts.pack(frame, "pr_id", ["ord"], 12, "|", shortest=2).first()["text"] == "xx|xxx|xxxx"
+    assert calls.value == 20
+
+
 def test_commit_numbers_keep_gaps(spark):
     rows = [("p", 0, "first"), ("p", 1, "  "), ("p", 2, None), ("p", 3, "last"), ("q", 0, " ")]
     frame = spark.createDataFrame(rows, "pr_id string, commit_ord long, message string")

@@ -11,6 +11,7 @@ from tributary import fixed_values as fixed
 from tributary.functions import text
 from tributary.functions.references import hunk_headings
 from tributary.operators.sampling import first_k
+from tributary.session import worked_out
 
 NO_DIFF = "(no file diff available)"
 #: Characters that every block has by its layout, whatever its texts.
@@ -33,7 +34,7 @@ def pack(blocks: DataFrame, key: str, order: Sequence[str], budget: int, separat
     """
     size = F.length("block").cast("long")
     short = F.raise_error(F.concat(F.lit(f"a block is shorter than {shortest}: "), F.col("block")))
-    sized = blocks.withColumn("_size", F.when(size < shortest, short.cast("long")).otherwise(size))
+    sized = worked_out(blocks.withColumn("_size", F.when(size < shortest, short.cast("long")).otherwise(size)), "block", "_size")
     counts = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n_blocks"))
     same_length = Window.partitionBy(key, "_size").orderBy(*order)
     candidates = (
