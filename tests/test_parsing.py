@@ -135,3 +135,33 @@ def test_lines_of_a_diff_are_numbered_once(spark):
     frame = spark.createDataFrame([(DIFF,)], "d string").select(diffs.file_maps(F.col("d")).alias("f"))
     plan = frame._jdf.queryExecution().analyzed().toString()
     assert plan.count("flatten(") == 1
+
+
+def test_structure_counts_equal_their_patterns(spark):
+    import re
+
+    raw = ["", "a", " \t if (x_1) {\n\tdef f(é, ...):\n\n  [", "))((", "]\t\n\n \t\t x\u2028y  ", "é̀ß+\r\n--9a"]
+    rows = spark.createDataFrame([(t,) for t in raw], "t string").select(
+        "t", patches.hunk_tokens(F.col("t")).alias("tokens"), patches.hunk_depth(F.col("t")).alias("depth"), patches.hunk_balanced(F.col("t")).alias("balanced")).collect()
+    for row in rows:
+        t = row["t"]
+        indents = [re.match(r"[ \t]*", line)[0].replace("\t", "    ") for line in t.split("\n")]
+        assert row["tokens"] == len(re.findall(r"(?a)\w+|[^\s\w]", t)), t
+        assert row["depth"] == 1 + max(map(len, indents)) // 4, t
+        assert row["balanced"] == all(t.count(a) == t.count(b) for a, b in ("()", "[]", "{}")), t
+
+
+def test_diff_features_parse_a_diff_once(spark):
+    from tributary.operators.diffs import diff_features
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def changed(name):
+        calls.add(1)
+        return f"diff --git a/{name}.py b/{name}.py\n--- a/{name}.py\n+++ b/{name}.py\n@@ -1 +1,2 @@\n-x\n+if x:\n+    y()\n"
+
+    table = spark.createDataFrame([(i, f"n{i}", "t", None) for i in range(8)], "diff_id long, name string, title string, description string")
+    rows = diff_features(table.select("diff_id", changed("name").alias("diff"), "title", "description")).collect()
+    assert {(r["m_additions"], r["m_deletions"], r["m_changed_files"], r["m_num_hunks"], r["m_files_modified"]) for r in rows} == {(2, 1, 1, 1, 1)}
+    assert len(rows) == 8 and calls.value == 8
