@@ -219,3 +219,10 @@ def test_long_references_take_rounds(spark, monkeypatch):
             a, b = hyps[key], [t for tokens in refs[key[0]] for t in tokens]
             common = lcs(a, b) if a and b else 0
             assert value == pytest.approx(2 * common / (len(a) + len(b)) if common else 0, abs=1e-4)
+
+
+def test_hypotheses_are_dealt_once(spark):
+    """Their tokens are exploded where they lie: one deal, by what the cells are joined on."""
+    hypotheses = spark.createDataFrame([(1, "k", "s", ["a", "b"])], "pr_id long, context_kind string, strategy string, tokens array<string>")
+    plan = textmetrics._bits_of_tokens(hypotheses)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
