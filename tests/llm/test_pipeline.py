@@ -108,3 +108,21 @@ def test_run_gives_the_last_stage_and_takes_empty_tables(spark, sf_dir, tmp_path
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_workers_give_back_freed_memory(monkeypatch):
+    """The Arrow pool is emptied after each batch, of rows and of blocks alike, as a worker stays when its task ends."""
+    import pyarrow as pa
+
+    from tributary.llm import common, simhash
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    batches = [pa.RecordBatch.from_pydict({"key": [i, i], "block": [0, 0], "part": [0, 0], "print": [i, i + 1]}) for i in (0, 4)]
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    assert [b.num_rows for b in common.slices(iter(batches), rows=1)] == [1] * 4 and Pool.released == 2
+    assert len(list(simhash.block_links(iter(batches), simhash._compare_rows, pa.int64()))) == 2 and Pool.released == 4

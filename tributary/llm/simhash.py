@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import Columns, map_columns, words_of
+from tributary.llm.common import Columns, give_back, map_columns, words_of
 from tributary.llm.components import components
 from tributary.llm.registry import query, table
 from tributary.session import cut_lineage
@@ -183,6 +183,8 @@ def block_links(batches: Iterator[pa.RecordBatch], compare: Callable[..., tuple]
         rest = rows[ends]
         if not ends.all():
             yield stars(rows[~ends].reset_index(drop=True))
+        del batch, rows
+        give_back()
     if len(rest):
         yield stars(rest.reset_index(drop=True))
 
