@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from tributary.catalog import sources
 from tributary.operators import detection
 from tributary.sources import logs, records
 from tributary.streaming import jobs
@@ -158,3 +161,32 @@ def test_late_and_repeated_rows_have_a_table_and_state_stays_small(spark, tmp_pa
     assert reasons == [(1, "repeated"), (1, "repeated"), (2, "late"), (2, "repeated"), (3, "no time"), (5, "late")]
     state = {n: sorted(r.k for r in spark.read.parquet(f"{folder}/state/keys/{n}").collect()) for n in range(3)}
     assert state == {0: [1, 2], 1: [4], 2: [4, 6]}  # keys of the last ten minutes
+
+
+def numbered_records(spark, numbers):
+    texts = [(json.dumps(RECORD | {"number": n, "pull_request": RECORD["pull_request"] | {"id": None if n is None else str(n)}}),) for n in numbers]
+    rows = spark.createDataFrame(texts, "value string").repartition(3)
+    return rows.select(F.from_json("value", records.RECORD_SCHEMA).alias("r")).select("r.*")
+
+
+def test_every_document_is_landed_and_judged(spark, monkeypatch):
+    """None is left out by its id; a repeated request is a file each, and one without an id is a file too."""
+    numbers = [*range(1, 61), 8, 8, None]
+    monkeypatch.setattr(sources, "nested", lambda *_: numbered_records(spark, numbers))
+    got = sources.whole_documents(spark, sources.landed_documents(spark, "")).collect()
+    want = [(None if n is None else str(n), "rejected", None, None) if n is not None and n % 7 in (3, 5) else (None if n is None else str(n), "read", "o", n) for n in numbers]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert "id % 50" not in sources.ORACLES["SRC2_whole_documents"]
+
+
+def test_whole_files_are_read_below_folders_and_beside_them(spark, tmp_path):
+    (tmp_path / "in" / "a" / "b").mkdir(parents=True)
+    for name in ("one", "a/two", "a/b/three", "a/_hidden", ".hidden", "a/b/_k=v"):
+        (tmp_path / "in" / name).write_text(f"text of\n{name}")
+    (tmp_path / "in" / "bad").write_bytes(b"\xff\xfe")
+    rows = records.whole_files(spark, str(tmp_path / "in")).collect()
+    old = spark.read.text(str(tmp_path / "in"), wholetext=True, recursiveFileLookup=True).select("_metadata.file_path").collect()
+    assert sorted(r.path for r in rows) == sorted(r.file_path for r in old) and len(rows) == 5
+    assert {r.path.rsplit("/in/")[1]: r.value for r in rows if not r.path.endswith("bad")} == {n: f"text of\n{n}" for n in ("one", "a/two", "a/b/three", "a/b/_k=v")}
+    (tmp_path / "none").mkdir()
+    assert records.whole_files(spark, str(tmp_path / "none")).count() == 0
