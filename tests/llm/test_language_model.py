@@ -1,10 +1,14 @@
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from helpers import ODD_ROWS, have_tables, no_documents, odd_documents, rows, small
 
 from tributary.llm import bloom
@@ -133,3 +137,26 @@ def test_counts_from_255_on_travel_too():
     for data, small_, larger in zip(*(batch.column(c).to_pylist() for c in ("codes", "counts", "larger"))):
         got |= dict(zip(np.frombuffer(data, np.uint64).tolist(), lm._counts(small_, larger).tolist()))
     assert got == dict(zip(codes.tolist(), counts.tolist()))
+
+
+def test_tasks_map_the_filter(spark):
+    """A process that probes the filter maps its files and holds no copy of them."""
+    docs = spark.createDataFrame([(i, f"one two three w{i}") for i in range(50)], "doc_id long, text string")
+    model, _ = lm.train(docs)
+    levels = model.levels.for_tasks()
+
+    def kinds(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"kind": [type(s.value).__name__ for s in levels.shards], "size": [s.value.size for s in levels.shards]})
+
+    found = spark.range(0, 2, 1, 2).mapInArrow(kinds, "kind string, size long").collect()
+    assert {r.kind for r in found} == {"memmap"} and sum(r.size for r in found) == 2 * model.levels.blocks.sum() * bloom.BLOCK_BITS // 8
+    assert len(pickle.dumps(levels)) < 20_000
+
+
+def test_large_rows_are_written_few_at_a_time(spark):
+    """Blocks of texts are rows of many MB: a hundred of them must not wait in the writer."""
+    rows = spark.range(0, 30, 1, 1).select("id", *[F.repeat(F.sha2(F.concat_ws("-", "id", F.lit(str(n))), 512), 4096).cast("binary").alias(f"c{n}") for n in range(4)])
+    for path in lm.written(rows, "large", **{**lm.LARGE_ROWS, "parquet.block.size": 4 << 20}).inputFiles():
+        groups = pq.ParquetFile(path.removeprefix("file://")).metadata
+        assert groups.num_row_groups > 3 and max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 8 << 20

@@ -5,29 +5,33 @@ missing; the last hit is the level.  Errors are one-sided: a level is never too
 
 Codes are dealt to shares by their high bits, and a share fills blocks of its own, as many as its keys ask for; all bits of a
 code lie in one block.  So whoever gathers a share's codes can fill its part of the filter at once, and nothing but
-finished blocks is written.  The filter grows with its keys.  Up to ``HELD_BYTES`` it is broadcast, in shards of ``SHARD_BYTES``,
-of which the driver holds one at a time.  Beyond it nothing is broadcast: readers deal their distinct codes to
+finished blocks is written.  The filter grows with its keys.  Up to ``HELD_BYTES`` it is sent to every machine, in files of ``SHARD_BYTES``,
+which all tasks of a machine map: so they share one copy in its file cache, and none holds it; nothing passes through the driver.
+Beyond it nothing is sent: readers deal their distinct codes to
 the shares and get the levels back (:func:`probe_shares`), so that what is read grows with the codes, not with codes times filter.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.session import scratch_path
+from tributary.session import opened, scratch_path
 
 BLOCK_BITS = 1 << 19
 BITS_PER_KEY = 12
 PROBES = 4
-#: Bytes of one broadcast shard, in whole blocks, and of a filter that tasks hold.
+#: Bytes of one file of a filter, in whole blocks, and of a filter that tasks map.
 SHARD_BYTES = 1 << 25
-HELD_BYTES = 1 << 28
+HELD_BYTES = 1 << 32
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -102,10 +106,28 @@ def _probe(bits: list[np.ndarray], shard: np.ndarray, row: np.ndarray, codes: np
     return out
 
 
+@lru_cache(maxsize=64)
+def _mapped(name: str, rows: int) -> np.ndarray:
+    return np.memmap(SparkFiles.get(name), np.uint8, "r", shape=(rows, BLOCK_BITS // 8))
+
+
+@dataclass
+class Shard:
+    """Some blocks, in a file that every machine gets once."""
+
+    name: str
+    rows: int
+    most_rows: int
+
+    @property
+    def value(self) -> np.ndarray:
+        return _mapped(self.name, self.rows)
+
+
 class LevelFilter:
-    """The finished filter: ``table`` has its blocks; up to ``HELD_BYTES`` they are broadcast too, and ``levels`` probes them."""
+    """The finished filter: ``table`` has its blocks; up to ``HELD_BYTES`` tasks map them too, and ``levels`` probes them."""
 
-    def __init__(self, shares: int, blocks: np.ndarray, table: DataFrame | None, place: np.ndarray, shards: list[Broadcast]):
+    def __init__(self, shares: int, blocks: np.ndarray, table: DataFrame | None, place: np.ndarray, shards: list[Shard]):
         self.shares, self.blocks, self.table, self.place, self.shards = shares, blocks, table, place, shards
 
     @property
@@ -121,12 +143,12 @@ class LevelFilter:
         share = share_of(codes, self.shares)
         own = self.blocks[share]
         place = self.place[(np.cumsum(self.blocks) - self.blocks)[share] + np.minimum(_block(codes, own), np.maximum(0, own - 1))]
-        rows = len(self.shards[0].value)
-        return np.where(own > 0, _probe([s.value for s in self.shards], place // rows, place % rows, codes), 0)
+        rows = self.shards[0].most_rows
+        return np.where(own > 0, _probe([np.asarray(s.value) for s in self.shards], place // rows, place % rows, codes), 0)
 
 
 def finished(table: DataFrame, shares: int) -> LevelFilter:
-    """The filter of written blocks (share, block, bits); broadcast if its size, which is counted first, allows it."""
+    """The filter of written blocks (share, block, bits); sent to the tasks if its size, which is counted first, allows it."""
     sizes = table.groupBy("share").agg(F.count("*").alias("n")).collect()  # a row for each share
     blocks = np.zeros(shares, np.int64)
     for row in sizes:
@@ -135,16 +157,37 @@ def finished(table: DataFrame, shares: int) -> LevelFilter:
     if not total or total * BLOCK_BITS // 8 > HELD_BYTES:
         return LevelFilter(shares, blocks, table, np.zeros(0, np.int64), [])
     rows = max(1, min(total, SHARD_BYTES * 8 // BLOCK_BITS))
-    first, place, shards, shard = np.cumsum(blocks) - blocks, np.zeros(total, np.int64), [], None
-    # the driver holds one shard at a time, filled in the order in which blocks arrive
-    for number, row in enumerate(table.toLocalIterator()):
-        if number % rows == 0:
-            shard = np.zeros((rows, BLOCK_BITS // 8), np.uint8)
-        place[first[row["share"]] + row["block"]] = number
-        shard[number % rows] = np.frombuffer(row["bits"], np.uint8)
-        if number % rows == rows - 1 or number == total - 1:
-            shards.append(table.sparkSession.sparkContext.broadcast(shard))
-    return LevelFilter(shares, blocks, table, place, shards)
+    spark, folder = table.sparkSession, scratch_path(table.sparkSession, "filter-shards")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = opened(folder)
+        system.create_dir(at)
+        file, written = None, rows
+        for batch in batches:
+            names, spots = [], []
+            for bits in batch.column("bits"):
+                if written == rows:
+                    if file:
+                        file.close()
+                    name, written = f"filter-{uuid.uuid4().hex}", 0
+                    file = system.open_output_stream(f"{at}/{name}")
+                file.write(bits.as_buffer())
+                names.append(name)
+                spots.append(written)
+                written += 1
+            yield pa.RecordBatch.from_arrays([batch.column("share"), batch.column("block"), pa.array(names, pa.string()), pa.array(spots, pa.int32())], names=["share", "block", "name", "spot"])
+        if file:
+            file.close()
+
+    # the blocks stay with the tasks; the driver learns where each one lies
+    first, place = np.cumsum(blocks) - blocks, np.zeros(total, np.int64)
+    where = table.select("share", "block", "bits").mapInArrow(write, "share int, block int, name string, spot int").toArrow()
+    share, block, spot = (where.column(c).to_numpy() for c in ("share", "block", "spot"))
+    names, shard = np.unique(where.column("name").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    place[first[share] + block] = shard * rows + spot
+    for name in names.tolist():
+        spark.sparkContext.addFile(f"{folder}/{name}")
+    return LevelFilter(shares, blocks, table, place, [Shard(name, int(n), rows) for name, n in zip(names.tolist(), np.bincount(shard))])
 
 
 def build(levels: DataFrame, keys: int, shares: int = 16) -> LevelFilter:

@@ -4,8 +4,8 @@ Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased and one end token
 tokens and all token pairs of the training texts are summed by shuffles and quantised to powers of two: level 1 starts at a
 count of one, so every counted word and pair is stored.  (``RESOLUTION`` only sets where, between two powers of two, the levels
 part: at shares of 2^q / RESOLUTION of the training tokens.)  Counts travel as arrays, dealt to shares by their code; the
-group that sums a share fills the share's part of the filter, which grows with what was counted.  Up to a stated size it is
-broadcast, beyond it texts deal their codes to the shares (see :mod:`bloom`); both give the same scores.
+group that sums a share fills the share's part of the filter, which grows with what was counted.  Up to a stated size tasks
+map it, beyond it texts deal their codes to the shares (see :mod:`bloom`); both give the same scores.
 
 Every token and pair of a text is probed.  The count behind a level is the mean count of that level, taken over the whole
 corpus; a word that was never counted passes for one that occurs once.  A token's probability mixes pair and single:
@@ -54,12 +54,14 @@ SHARE = 2_000_000
 CACHED_WORDS = 200_000
 #: Levels that statistics have room for: counts of 64 bits have no more.
 MOST_LEVELS = 72
+#: A row of many MB: the writer looks at what it gathers after each one, and the reader gets few at a time.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, **options) -> DataFrame:
     path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return frame.sparkSession.read.parquet(path)
 
 
@@ -314,7 +316,7 @@ class _Known:
 
 
 def _scored_with_held_filter(split: DataFrame, model: Model) -> DataFrame:
-    levels = model.levels.for_tasks()  # its shards are broadcast on their own
+    levels = model.levels.for_tasks()  # its shards are files of their own
     shared = split.sparkSession.sparkContext.broadcast(model.with_levels(None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +398,7 @@ def _scored_with_dealt_codes(split: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([lists["doc_ids"], lists["held_outs"], pa.array(texts.sizes, pa.int64()), lists["known"], lists["base"], pa.array(scores, pa.float64()), lists["rest"], lists["times"]],
                                              names=[part.split()[0] for part in _SCORED.split(", ")])
 
-    rows = written(split.mapInArrow(blocks, columns), "text-blocks")
+    rows = written(split.mapInArrow(blocks, columns), "text-blocks", **LARGE_ROWS)
     cells = rows.select("reader", "single", "own", "sizes").mapInArrow(deal, "reader long, share int, codes binary")
     answers = bloom.probe_shares(cells, model.levels).groupBy("reader").agg(F.array_sort(F.collect_list(F.struct("share", "levels"))).alias("answers"))
     return rows.join(answers, "reader").mapInArrow(finish, _SCORED)
