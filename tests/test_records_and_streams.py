@@ -190,3 +190,11 @@ def test_whole_files_are_read_below_folders_and_beside_them(spark, tmp_path):
     assert {r.path.rsplit("/in/")[1]: r.value for r in rows if not r.path.endswith("bad")} == {n: f"text of\n{n}" for n in ("one", "a/two", "a/b/three", "a/b/_k=v")}
     (tmp_path / "none").mkdir()
     assert records.whole_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ingest_leaves_no_second_copy_of_its_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "scratch_path", lambda _, name: str(tmp_path / name))
+    source = land(tmp_path / "in")
+    jobs.ingest(jobs.stream_records(spark, source), str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out" / "commits")).count() == 2 and (tmp_path / "fanned").is_dir()
+    assert not list((tmp_path / "fanned").glob("table=*/*.parquet"))
