@@ -1,7 +1,9 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
+from tributary import session
 from tributary.catalog import sources
 from tributary.operators import detection
 from tributary.sources import logs, records
@@ -198,3 +200,19 @@ def test_ingest_leaves_no_second_copy_of_its_tables(spark, tmp_path, monkeypatch
     jobs.ingest(jobs.stream_records(spark, source), str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "commits")).count() == 2 and (tmp_path / "fanned").is_dir()
     assert not list((tmp_path / "fanned").glob("table=*/*.parquet"))
+
+
+def test_landing_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffle_files():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, rows = shuffle_files(), numbered_records(spark, range(20))
+    kept = spark.conf.get(session.SHUFFLE_CLEANUP_KEY)
+    records.land(rows, str(tmp_path / "landed"))
+    until = time.time() + 10  # files go in the background
+    while shuffle_files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files() - before and spark.conf.get(session.SHUFFLE_CLEANUP_KEY) == kept
+    rows.write.parquet(str(tmp_path / "plain"))
+    assert shuffle_files() - before
